@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 """Bytes of text that a vectorised pass holds at once; it bounds memory whatever the length of a document."""
@@ -157,3 +158,9 @@ def doc_words(flat: np.ndarray, offs: np.ndarray, fold=fold_bytes) -> tuple[np.n
         a = z
     none = np.zeros(0, np.int64)
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*docs, none]), np.concatenate([*starts, none])
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str, most: int = 50_000) -> DataFrame:
+    """Rows that the driver holds, to be joined: broadcast up to ``most`` of them, and otherwise joined as Spark sees fit."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df

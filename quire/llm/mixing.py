@@ -8,7 +8,7 @@ of a hash of seed, epoch and doc_id, as far as the running sum of tokens fits.
 
 Scale: sorting a leaf is avoided. Tokens are summed by leaf and 4,096 ranges of the hash, the range in which the prefix ends
 is the only one whose rows are sorted, and the last hash that fits decides for all rows in a filter. Leaves (not documents)
-are collected on the driver, as the tree is small; the filter's table is broadcast by Spark only below its own limit.
+are collected on the driver, as the tree is small; their table is broadcast to the rows if it has at most 50,000 of them.
 
 Cases: a token is a run of characters other than space, tab, newline, return and form feed; null and empty texts have
 none, and come along with an epoch in which they lie. Null languages or sources are the leaf 'unknown'. Rows with equal
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_dir, materialize
+from quire.llm.common import drop_dir, local_rows, materialize
 
 SEED, SHARE, MAX_EPOCHS = 17, (4, 5), 2
 DOMAINS = {"src0": "web", "src1": "web", "src2": "web", "src3": "web", "src4": "books", "src5": "books", "src6": "books", "src7": "news", "src8": "news", "src9": "news"}
@@ -69,17 +69,17 @@ def _plan(slim: DataFrame, seed: int, share: tuple[int, int], max_epochs: int, w
     spark = slim.sparkSession
     tokens = {(r["domain"], r["lang"], r["source"]): r["n"] for r in slim.groupBy(LEAF).agg(F.sum("n_tokens").alias("n")).collect()}
     plan = [(*leaf, b // tokens[leaf] if tokens[leaf] else 0, b % tokens[leaf] if tokens[leaf] else 0) for leaf, b in budgets(tokens, share, max_epochs, weights).items()]
-    leaves = spark.createDataFrame(plan, "domain string, lang string, source string, full bigint, rest bigint")
+    leaves = local_rows(spark, plan, "domain string, lang string, source string, full bigint, rest bigint")
     rows = slim.join(leaves, LEAF).where("rest > 0").withColumn("h", _hash(seed, F.col("full"))).withColumn("range", F.substring("h", 1, 3))
     sums = rows.groupBy(*LEAF, "rest", "range").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(LEAF).orderBy("range"))
     cut = sums.withColumn("upto", upto).where("upto > rest").groupBy(LEAF).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
-    edge = rows.join(spark.createDataFrame([tuple(r) for r in cut.select(*LEAF, "cut.range", "cut.before").collect()], "domain string, lang string, source string, range string, before bigint"), [*LEAF, "range"])
+    edge = rows.join(local_rows(spark, [tuple(r) for r in cut.select(*LEAF, "cut.range", "cut.before").collect()], "domain string, lang string, source string, range string, before bigint"), [*LEAF, "range"])
     fits = edge.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(LEAF).orderBy("h").rangeBetween(Window.unboundedPreceding, 0))).where("upto <= rest")
     last = {tuple(r)[:3]: r["h"] for r in fits.groupBy(LEAF).agg(F.max("h").alias("h")).collect()}
     ranges = {tuple(r)[:3]: r["range"] for r in edge.select(*LEAF, "range").distinct().collect()}
     # where no row of the last range fits, the prefix ends with the range before: any hash below the range's first
-    return spark.createDataFrame([(*p[:4], last.get(p[:3], ranges.get(p[:3])) if p[4] else None) for p in plan], "domain string, lang string, source string, full bigint, last string")
+    return local_rows(spark, [(*p[:4], last.get(p[:3], ranges.get(p[:3])) if p[4] else None) for p in plan], "domain string, lang string, source string, full bigint, last string")
 
 
 def _hash(seed: int, epoch):
