@@ -6,10 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from quire.operators import arrow, blocks, census, gates, joins, text, windows
+from quire.plans.dialect import Duck, Spark
+from quire.plans.views import prefix
 
+TABLES = ["documents", "pages", "benchmark", "labels", "conversations", "events", "orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over the tables of a folder; only the tables that it names are opened."""
+    for t in TABLES:
+        if t in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def _planned(make: Callable, views: list[str]) -> tuple[Query, str]:
+    def text_of(d) -> str:
+        return f"{prefix(d, views)} {make(d)}" if views else f"WITH {make(d)}"
+
+    return (lambda spark, sf_dir: run_sql(spark, sf_dir, text_of(Spark()))), text_of(Duck())
+
+
+def _collect() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {}
+    for module in (text, census, windows, joins, blocks, gates):
+        for name, (views, make) in module.OPERATORS.items():
+            found[name] = _planned(make, views)
+    return found | arrow.QUERIES
+
+
+QUERIES = _collect()
+FLAGSHIP: Query = QUERIES["furniture_templates"][0]
+
+
+def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
 
