@@ -49,9 +49,26 @@ def nearest(ids: np.ndarray, distance: np.ndarray, query: np.ndarray, k: int) ->
     return order[nth < k]
 
 
+def _best(k: int):
+    @F.arrow_udf("array<struct<d: double, id: bigint>>")
+    def best(ids: pa.Array, ds: pa.Array) -> pa.Array:
+        ids, ds = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, ds))
+        n = np.asarray(ids.value_lengths()).astype(np.int64)
+        i, d, q = np.asarray(ids.flatten()), np.asarray(ds.flatten()), np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((i, d, q))
+        i, d, q = i[order], d[order], q[order]
+        new = np.ones(len(i), bool)  # a neighbour comes once for each list that it is in
+        new[1:] = (i[1:] != i[:-1]) | (q[1:] != q[:-1])
+        i, d, q = i[new], d[new], q[new]
+        take = nearest(i, d, q, k)
+        ends = pa.array(np.searchsorted(q[take], np.arange(len(n) + 1)).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(d[take]), pa.array(i[take])], ["d", "id"]))
+
+    return best
+
+
 def merge(found: DataFrame, k: int, name: str) -> DataFrame:
     """vec_id, neighbor_id, rank and the distance as ``name`` from lists of candidates (vec_id, ids, ds)."""
-    pair = F.arrays_zip(F.col("ds").alias("d"), F.col("ids").alias("id"))
-    best = found.where(F.size("ids") > 0).groupBy("vec_id").agg(F.flatten(F.collect_list(pair)).alias("all"))
-    best = best.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("best"))
+    every = found.where(F.size("ids") > 0).groupBy("vec_id").agg(F.collect_list(F.struct("ids", "ds")).alias("l"))
+    best = every.select("vec_id", _best(k)(F.flatten("l.ids"), F.flatten("l.ds")).alias("best"))
     return best.select("vec_id", F.posexplode("best").alias("i", "x")).select("vec_id", F.col("x.id").alias("neighbor_id"), (F.col("i") + 1).cast("int").alias("rank"), F.col("x.d").alias(name))
