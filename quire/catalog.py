@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import arrow, blocks, census, gates, joins, text, windows
+from quire.operators import arrow, blocks, census, folds, gates, joins, text, windows
 from quire.plans.dialect import Duck, Spark
 from quire.plans.views import prefix
 
@@ -34,7 +34,7 @@ def _collect() -> dict[str, tuple[Query, str | None]]:
     for module in (text, census, windows, joins, blocks, gates):
         for name, (views, make) in module.OPERATORS.items():
             found[name] = _planned(make, views)
-    return found | arrow.QUERIES
+    return found | arrow.QUERIES | folds.QUERIES
 
 
 QUERIES = _collect()

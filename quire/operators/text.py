@@ -52,6 +52,12 @@ def restore_spaces(d: Spark, x: str) -> str:
     return x
 
 
+def lacks_space(d: Spark, x: str) -> str:
+    """Whether any rule, the swap included, applies: exactly then restore_spaces changes a text."""
+    every = [f"[{END}] [{CLOSE2}{CLOSE1}]", *(f"{left}{right}{ahead}" for _, left, right, ahead in SPACE_RULES)]
+    return d.has(x, "|".join(f"(?:{p})" for p in every))
+
+
 def expand_ligatures(x: str) -> str:
     for a, b in LIGATURES.items():
         x = f"replace({x}, '{a}', '{b}')"
@@ -90,7 +96,7 @@ OPERATORS = {
     "ligature_expand": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {expand_ligatures('text')} AS fixed, {d.count('text', '[ﬀ-ﬆ]')} AS n_ligatures FROM damaged) SELECT * FROM r WHERE n_ligatures > 0"),
     "ctrl_strip": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.sub('text', r'[\x00-\x08\x0b\x0c\x0e-\x1f]')} AS fixed, {d.count('text', r'[\x00-\x08\x0b\x0c\x0e-\x1f]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
     "quote_swap": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {swap_quotes(d, 'text')} AS fixed, {d.count('text', f'[{END}] [{CLOSE2}{CLOSE1}]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
-    "restore_spaces": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, text, {restore_spaces(d, 'text')} AS fixed FROM damaged) SELECT doc_id, para, fixed, CAST(length(fixed) - length(text) AS BIGINT) AS n FROM r WHERE fixed <> text"),
+    "restore_spaces": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, text, {restore_spaces(d, 'text')} AS fixed FROM damaged WHERE {lacks_space(d, 'text') if d.name == 'spark' else 'true'}) SELECT doc_id, para, fixed, CAST(length(fixed) - length(text) AS BIGINT) AS n FROM r WHERE {'true' if d.name == 'spark' else 'fixed <> text'}"),
     "stray_grave": (["damaged"], lambda d: (f"r AS (SELECT doc_id, para, text, {d.sub('text', '`(?![\\p{L}])')} AS fixed FROM damaged) " if d.name == "spark" else f"r AS (SELECT doc_id, para, text, {d.sub('text', '`([^\\p{L}]|$)', '@1')} AS fixed FROM damaged) ") + "SELECT doc_id, para, fixed FROM r WHERE fixed <> text"),
     "wrong_script_alpha": (["damaged"], lambda d: "g AS (SELECT doc_id, para, replace(text, 'The', 'Ᾱe') AS text FROM damaged), r AS (SELECT doc_id, para, text, " + (d.sub("text", "Ᾱ(?=[a-z])", "Ā") if d.name == "spark" else d.sub("text", "Ᾱ([a-z])", "Ā@1")) + " AS fixed FROM g) SELECT doc_id, para, fixed FROM r WHERE fixed <> text"),
     "garble_runs": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', f'[{LOST}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]+')} AS n_runs, {d.count('text', LOST)} AS n_lost FROM damaged) SELECT * FROM r WHERE n_runs > 0"),
