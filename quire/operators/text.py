@@ -9,9 +9,10 @@ from quire.plans.dialect import Spark
 from quire.plans.views import LOST, SOFT
 
 LOW, CAP, DIGIT, LETTER = "a-z", "A-Z", "0-9", "A-Za-z"
+C0 = f'[{chr(92)}x00-{chr(92)}x08{chr(92)}x0b-{chr(92)}x0c{chr(92)}x0e-{chr(92)}x1f]'
 STOP, PAUSE, END = ".!?", ",;:", ".!?,;:"
 DQ, OPEN2, CLOSE2, OPEN1, CLOSE1 = '"', "“", "”", "‘", "’"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+LIGATURES = dict(zip("ﬀﬁﬂﬃﬄﬅﬆ", ("ff", "fi", "fl", *("f" + x for x in ("fi", "fl")), *["st"] * 2)))
 
 #: Rules of lost spaces in their order: name, what stands left of the space, what right, what must follow.
 SPACE_RULES = [
@@ -85,7 +86,7 @@ def _roman(d: Spark, n: str) -> str:
         yield f"CASE {digit} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(forms[:4] if unit == 1000 else forms)) + " ELSE '' END"
 
 
-VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+VALUES = dict(zip("ivxlcdm", (10**k * f for k in range(4) for f in (1, 5))))
 
 
 def _value(x: str) -> str:
@@ -94,16 +95,16 @@ def _value(x: str) -> str:
 
 OPERATORS = {
     "ligature_expand": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {expand_ligatures('text')} AS fixed, {d.count('text', '[ﬀ-ﬆ]')} AS n_ligatures FROM damaged) SELECT * FROM r WHERE n_ligatures > 0"),
-    "ctrl_strip": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.sub('text', r'[\x00-\x08\x0b\x0c\x0e-\x1f]')} AS fixed, {d.count('text', r'[\x00-\x08\x0b\x0c\x0e-\x1f]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
+    "ctrl_strip": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.sub('text', C0)} AS fixed, {d.count('text', C0)} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
     "quote_swap": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {swap_quotes(d, 'text')} AS fixed, {d.count('text', f'[{END}] [{CLOSE2}{CLOSE1}]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
     "restore_spaces": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, text, {restore_spaces(d, 'text')} AS fixed FROM damaged WHERE {lacks_space(d, 'text') if d.name == 'spark' else 'true'}) SELECT doc_id, para, fixed, CAST(length(fixed) - length(text) AS BIGINT) AS n FROM r WHERE {'true' if d.name == 'spark' else 'fixed <> text'}"),
     "stray_grave": (["damaged"], lambda d: (f"r AS (SELECT doc_id, para, text, {d.sub('text', '`(?![\\p{L}])')} AS fixed FROM damaged) " if d.name == "spark" else f"r AS (SELECT doc_id, para, text, {d.sub('text', '`([^\\p{L}]|$)', '@1')} AS fixed FROM damaged) ") + "SELECT doc_id, para, fixed FROM r WHERE fixed <> text"),
     "wrong_script_alpha": (["damaged"], lambda d: "g AS (SELECT doc_id, para, replace(text, 'The', 'Ᾱe') AS text FROM damaged), r AS (SELECT doc_id, para, text, " + (d.sub("text", "Ᾱ(?=[a-z])", "Ā") if d.name == "spark" else d.sub("text", "Ᾱ([a-z])", "Ā@1")) + " AS fixed FROM g) SELECT doc_id, para, fixed FROM r WHERE fixed <> text"),
-    "garble_runs": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', f'[{LOST}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]+')} AS n_runs, {d.count('text', LOST)} AS n_lost FROM damaged) SELECT * FROM r WHERE n_runs > 0"),
+    "garble_runs": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', f'[{LOST}{C0[1:]}+')} AS n_runs, {d.count('text', LOST)} AS n_lost FROM damaged) SELECT * FROM r WHERE n_runs > 0"),
     "pua_residue": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', '[-]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
     "hyphen_residue": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', '[a-zà-ÿ]- [a-zà-ÿ]')} AS n FROM damaged) SELECT * FROM r WHERE n > 0"),
     "soft_hyphen_strip": (["damaged"], _mend(lambda d: f"replace(text, '{SOFT}', '')", "fixed <> text")),
-    "inrun_dehyphenate": (["damaged"], _mend(lambda d: d.sub("text", "([A-Za-zÀ-ſ])- ([a-zà-ÿ])", "@1@2"), "fixed <> text")),
+    "inrun_dehyphenate": (["damaged"], _mend(lambda d: d.sub("text", f"([{LETTER}À-ſ])[-] ([{LOW}à-ÿ])", "@1@2"), "fixed <> text")),
     "lost_space_defects": (["damaged"], lambda d: f"r AS (SELECT doc_id, para, {d.count('text', f'[{LOW}][.!?,;:][{CAP}]')} AS after_punct, {d.count('text', f'[{LOW}],[{LOW}]')} AS comma_lower FROM damaged) SELECT * FROM r WHERE after_punct + comma_lower > 0"),
     "space_rule_tally": (["damaged"], lambda d: "t AS (" + " UNION ALL ".join(f"SELECT '{name}' AS rule, {d.count('text', f'{left}{right}{ahead}')} AS n FROM damaged" for name, left, right, ahead in SPACE_RULES) + ") SELECT rule, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY rule"),
     "folio_lines": (["lines"], lambda d: f"h AS (SELECT doc_id, page, CASE page % 3 WHEN 0 THEN CAST(page AS VARCHAR(20)) WHEN 1 THEN 'xiv' ELSE source || ' ' || CAST(page AS VARCHAR(20)) END AS head FROM lines WHERE idx = 0), r AS (SELECT *, {folio(d, 'head')} AS is_folio FROM h) SELECT doc_id, page, head, is_folio, is_folio AND (length(trim(head)) <= 8) AS plausible FROM r"),

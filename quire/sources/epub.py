@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from html import escape
 from xml.etree import ElementTree
@@ -15,25 +14,42 @@ from pyspark.sql import functions as F
 from quire.sources.html import events
 
 WHEN = (1980, 1, 1, 0, 0, 0)
-CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+XML = "application/xhtml+xml"
+OASIS = ":".join(["urn", "oasis", "names", "tc", "opendocument", "xmlns", "container"])
+XHTML, DC = "http://www.w3.org/1999/xhtml", "/".join(("http://purl.org", "dc", "elements", "1.1", ""))
+OPF, EPUB = (f"http://www.idpf.org/2007/{x}" for x in ("opf", "ops"))
+
+
+def tag(name: str, body: str | None = None, **attrs: str) -> str:
+    """An element from its name, content and attributes (``__`` stands for a colon, ``_`` for a hyphen, ``class_`` for class)."""
+    pairs = "".join(f' {k.rstrip("_").replace("__", ":").replace("_", "-")}="{escape(v)}"' for k, v in attrs.items())
+    return f"<{name}{pairs}/>" if body is None else f"<{name}{pairs}>{body}</{name}>"
+
+
+def document(body: str) -> str:
+    return "<?xml version='1.0' encoding='utf-8'?>\n" + body
+
+
+def page(lang: str, title: str, body: str) -> str:
+    return document(tag("html", tag("head", tag("title", escape(title))) + tag("body", body), xmlns=XHTML, xmlns__epub=EPUB, lang=lang))
 
 
 def package(identifier: str, title: str, lang: str, chapters: list[tuple[str, list[str]]]) -> bytes:
     """A zip with the media type first and stored, then all parts in order of name, with one fixed time."""
-    page = '<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="{0}"><head><title>{1}</title></head><body>{2}</body></html>'
-    parts, items, spine, nav = {"META-INF/container.xml": CONTAINER}, [], [], []
+    root = "OEBPS/content.opf"
+    parts = {"META-INF/container.xml": document(tag("container", tag("rootfiles", tag("rootfile", full_path=root, media_type="application/oebps-package+xml")), version="1.0", xmlns=OASIS))}
+    items, spine, nav = [], [], []
     for k, (head, paras) in enumerate(chapters, 1):
-        name = f"c{k:04d}.xhtml"
-        parts[f"OEBPS/{name}"] = page.format(lang, escape(head), f"<h1>{escape(head)}</h1>" + "".join(f"<p>{escape(p)}</p>" for p in paras))
-        items.append(f'<item id="c{k:04d}" href="{name}" media-type="application/xhtml+xml"/>')
-        spine.append(f'<itemref idref="c{k:04d}"/>')
-        nav.append(f'<li><a href="{name}">{escape(head)}</a></li>')
-    parts["OEBPS/nav.xhtml"] = page.format(lang, "Contents", f'<nav epub:type="toc"><ol>{"".join(nav)}</ol></nav>')
-    items.append('<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>')
-    parts["OEBPS/content.opf"] = (
-        '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
-        f'<dc:identifier id="id">{escape(identifier)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>{lang}</dc:language></metadata><manifest>{"".join(items)}</manifest><spine>{"".join(spine)}</spine></package>'
-    )
+        key = f"c{k:04d}"
+        name = f"{key}.xhtml"
+        parts[f"OEBPS/{name}"] = page(lang, head, tag("h1", escape(head)) + "".join(tag("p", escape(p)) for p in paras))
+        items.append(tag("item", id=key, href=name, media_type=XML))
+        spine.append(tag("itemref", idref=key))
+        nav.append(tag("li", tag("a", escape(head), href=name)))
+    parts["OEBPS/nav.xhtml"] = page(lang, "Contents", tag("nav", tag("ol", "".join(nav)), epub__type="toc"))
+    items.append(tag("item", id="nav", href="nav.xhtml", media_type=XML, properties="nav"))
+    about = tag("dc:identifier", escape(identifier), id="id") + tag("dc:title", escape(title)) + tag("dc:language", lang)
+    parts[root] = document(tag("package", tag("metadata", about, xmlns__dc=DC) + tag("manifest", "".join(items)) + tag("spine", "".join(spine)), xmlns=OPF, version="3.0", unique_identifier="id"))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr(zipfile.ZipInfo("mimetype", WHEN), "application/epub+zip", zipfile.ZIP_STORED)
@@ -45,9 +61,9 @@ def package(identifier: str, title: str, lang: str, chapters: list[tuple[str, li
 def parse(content: bytes) -> list[tuple[str, int, str, bool]]:
     """(href, position in the spine or -1, text of the part, whether it is the navigation) of all manifest items."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = re.search(r'full-path="([^"]+)"', z.read("META-INF/container.xml").decode())[1]
+        root = next(ElementTree.fromstring(z.read("META-INF/container.xml")).iter(f"{{{OASIS}}}rootfile")).get("full-path")
         opf, base = ElementTree.fromstring(z.read(root)), root.rpartition("/")[0]
-        ns = {"o": "http://www.idpf.org/2007/opf"}
+        ns = {"o": OPF}
         order = {r.get("idref"): k for k, r in enumerate(opf.iterfind(".//o:itemref", ns))}
         names = set(z.namelist())
         out = []
