@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import shared_dir
+
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(2**40 - 1))).alias("h")).first()
@@ -17,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     a and b have any type with an order. Every step shuffles the edges once and ends in a checkpoint; their number never
     grows, and the steps are as many as the logarithm of the number of nodes in a component at most, squared.
     """
+    shared_dir(edges.sparkSession)  # checkpoints need a folder
     to_b = Window.partitionBy("a")
     edges = edges.select("a", "b").where("a <> b").distinct().checkpoint()
     seen = _mark(edges)
