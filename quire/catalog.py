@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import arrow, blocks, census, folds, gates, joins, reports, text, windows
+from quire.operators import arrow, blocks, census, folds, gates, joins, reports, runs, text, windows
 from quire.plans.dialect import Duck, Spark
 from quire.plans.views import prefix
 
@@ -31,7 +31,7 @@ def _planned(make: Callable, views: list[str]) -> tuple[Query, str]:
 
 def _collect() -> dict[str, tuple[Query, str | None]]:
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (text, census, windows, joins, blocks, gates, reports):
+    for module in (text, census, windows, joins, blocks, gates, reports, runs):
         for name, (views, make) in module.OPERATORS.items():
             found[name] = _planned(make, views)
     return found | arrow.QUERIES | folds.QUERIES

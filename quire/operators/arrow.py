@@ -165,3 +165,36 @@ QUERIES = {
     "html_alt": (html_alt, None),
     "html_a11y": (html_a11y, None),
 }
+
+
+def seam_spaces(spark, sf_dir):
+    """Spaces lost between two runs of a paragraph, which no rule within one run can see."""
+    from quire.operators.text import SPACE_RULES
+
+    runs = view(spark, sf_dir, "paras").select("doc_id", "para", F.regexp_extract("text", r"^(.*?[.!?,;:]) ?(\S.*)$", 1).alias("a"), F.regexp_extract("text", r"^(.*?[.!?,;:]) ?(\S.*)$", 2).alias("b")).where("a <> ''")
+    kind = pa.struct([("a", pa.string()), ("b", pa.string()), ("n", pa.int32())])
+    f = mapped(lambda a, b: dict(zip("abn", seams.restore_seam(a, b, SPACE_RULES))), "struct<a: string, b: string, n: int>", kind)
+    return runs.select("doc_id", "para", f("a", "b").alias("x")).where("x.n > 0").select("doc_id", "para", F.right("x.a", F.lit(4)).alias("head"), F.substring("x.b", 1, 4).alias("tail"))
+
+
+def _best_heading(spark, sf_dir, tail: str):
+    lines = view(spark, sf_dir, "lines").where("size > 12")
+    heads = lines.select("doc_id", F.col("line").alias("heading"), F.col("page").alias("heading_page"), F.lower("text").alias("h"))
+    entries = lines.select("doc_id", "line", "page", F.lower(F.expr(tail)).alias("e"))
+    return entries.join(heads, "doc_id").withColumn("score", F.round(mapped(seams.partial_ratio, "double")("e", "h"), 3))
+
+
+def contents_links(spark, sf_dir):
+    """For each contents entry its likest heading of at least 85; ties prefer the entry's page, then the first."""
+    scored = _best_heading(spark, sf_dir, "substring(text, 1, length(text) - 2)").where("score >= 85")
+    best = F.max_by("heading", F.struct("score", F.col("page") == F.col("heading_page"), -F.col("heading")))
+    return scored.groupBy("doc_id", "line").agg(best.alias("heading"), F.max("score").alias("score"))
+
+
+def nav_agreement(spark, sf_dir):
+    """Titles of the source that no navigation title is like; the navigation here lacks each fourth heading."""
+    scored = _best_heading(spark, sf_dir, "text").withColumn("score", F.when(F.col("heading") % 4 == 0, 0).otherwise(F.col("score")))
+    return scored.groupBy("doc_id", "line").agg(F.max("score").alias("score")).where("score < 85").select("doc_id", "line")
+
+
+QUERIES |= {"seam_spaces": (seam_spaces, None), "contents_links": (contents_links, None), "nav_agreement": (nav_agreement, None)}
