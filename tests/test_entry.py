@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -27,3 +28,18 @@ def test_oracles_belong_to_queries():
 
 def test_imports_without_the_subpackage():
     subprocess.run([sys.executable, "-c", WITHOUT], cwd=ROOT, check=True)
+
+
+AWAY = """
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["normalize_text"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    subprocess.run([sys.executable, "-c", AWAY.format(root=str(ROOT))], cwd=tmp_path, env=env, check=True)
