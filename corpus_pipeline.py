@@ -10,30 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, langid, mixing, pii, simhash
 from quire.llm.common import materialize, table
+from quire.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; lang is the language found, the others go."""
+    ship(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, private data replaced by its kind; n_chars follows."""
+    ship(spark)
     return pii.redact_pii(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture's budgets take them."""
+    ship(spark)
     return mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    ship(spark)
     return bpe.encode_documents(docs)
 
 
