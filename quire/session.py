@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,11 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context: their Python need not have it, wherever the driver runs."""
+    """Send this package to the executors, once a context, unless PYTHONPATH or the working folder already leads to it."""
     context = spark.sparkContext
-    if getattr(context, "_quire_shipped", False):
-        return
     package = Path(__file__).resolve().parent
+    known = [str(Path.cwd()), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if str(package.parent) in known or getattr(context, "_quire_shipped", False):
+        return
     at = Path(tempfile.mkdtemp(prefix="quire-package-")) / "quire.zip"  # on the driver; Spark serves it from there
     with zipfile.ZipFile(at, "w") as z:
         for f in sorted(package.rglob("*.py")):
