@@ -184,8 +184,8 @@ FOLDS: dict[str, tuple[Callable, str, str]] = {
     "heading_claims": (claim_headings, "entry", "size > 12"),
     "verse_groups": (verse_groups, "stanza", "true"),
     "list_pass": (list_pass, "item", "true"),
-    "page_fidelity": (page_fidelity, "recall", "page <= 12"),
-    "paged_coverage": (paged_coverage, "matched", "page <= 3"),
+    "page_fidelity": (page_fidelity, "recall", "true"),
+    "paged_coverage": (paged_coverage, "matched", "true"),
 }
 COLUMNS = ["line", "page", "x0", "x1", "y0", "size", "text"]
 

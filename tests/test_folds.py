@@ -55,6 +55,13 @@ def test_coverage_and_fidelity_see_what_is_missing():
     assert all(0.8 * 3500 < v < 4000 for v in cover.values()) and all(80 < v < 100 for v in recall.values())
 
 
+def test_every_page_of_a_long_document_is_matched(spark, tmp_path):
+    text = "\n".join(" ".join(f"word{p}x{k}" for k in range(100)) for p in range(64))
+    spark.createDataFrame([(1, "s", "en", text)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("paged_coverage", "page_fidelity"):
+        assert sorted(r["line"] for r in folds.QUERIES[name][0](spark, str(tmp_path)).collect()) == list(range(1, 17))
+
+
 def test_packages_are_stable_and_read_back(spark):
     from quire.sources.epub import package, parse, read_packages, write_packages
 
