@@ -45,7 +45,7 @@ def fold_titles(spark, sf_dir):
 
 
 def slugs(spark, sf_dir):
-    return view(spark, sf_dir, "paras").where("para < 3").select("doc_id", "para", mapped(seams.slugify, "string")("text").alias("slug"))
+    return view(spark, sf_dir, "paras").select("doc_id", "para", mapped(seams.slugify, "string")("text").alias("slug"))
 
 
 def inline_dehyphenate(spark, sf_dir):
@@ -70,8 +70,8 @@ def shifted_repair(spark, sf_dir):
 
 
 def engine_agreement(spark, sf_dir):
-    """Indel likeness of every paragraph with its damaged copy."""
-    d = view(spark, sf_dir, "damaged").where("length(text) between 40 and 4000")
+    """Indel likeness of every paragraph with its damaged copy, skipped only where both have under 40 characters."""
+    d = view(spark, sf_dir, "damaged").where("length(text) >= 40 or length(original) >= 40")
     return d.select("doc_id", "para", F.round(mapped(seams.ratio, "double")("original", "text"), 3).alias("ratio"))
 
 
@@ -86,7 +86,7 @@ def fuzzy_titles(spark, sf_dir):
 
 def wrapped(spark, sf_dir):
     f = mapped(seams.wrap, "array<string>", pa.list_(pa.string()))
-    return view(spark, sf_dir, "paras").where("para < 5").select("doc_id", "para", F.posexplode(f("text")).alias("k", "row"))
+    return view(spark, sf_dir, "paras").select("doc_id", "para", F.posexplode(f("text")).alias("k", "row"))
 
 
 def _folded(spark, sf_dir, value: str, function, name: str):
