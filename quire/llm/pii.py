@@ -1,8 +1,9 @@
 """Operator 8, private data: regular expressions propose spans, validators confirm them, context words adjust the score.
 
 Kinds: email, phone, ipv4, card (Luhn), iban (mod 97), ssn (areas that exist), secret (cloud access keys and values
-assigned to a name such as token or password). A proposed span starts at the kind's score, loses all of it if its
-validator rejects it, gains ``near`` if one of the kind's words stands within ``window`` characters, and loses ``far`` for
+assigned to a name such as token or password). Of a proposed span that its validator rejects, as numbers behind a card or
+a word behind an IBAN run into it, the longest valid part from its start to the end of a group is taken, to a space if it can be; without one the
+search goes on behind its first character. A valid span starts at the kind's score, gains ``near`` if one of the kind's words stands within ``window`` characters, and loses ``far`` for
 a word that speaks against it. Spans of at least ``threshold`` count; of overlapping ones the higher score, then the longer,
 then the earlier one stays. Positions are in characters from 0, the end is exclusive.
 
@@ -13,6 +14,7 @@ no rows. In redaction a text without a span is left as it is, and n_chars follow
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,18 +79,32 @@ HINT = np.zeros(256, bool)
 HINT[[*b"0123456789@=:"]] = True
 
 
+def _ends(kind: str, text: str, a: int, b: int) -> Iterator[int]:
+    """Where a span that is proposed as text[a:b] may end, the longest first; spaces end a group sooner than other signs."""
+    yield b
+    if kind in ("phone", "card", "iban"):
+        for signs in (" ", ".-"):
+            yield from (z for z in range(b - 1, a, -1) if text[z] in signs and text[z - 1] not in " .-")
+
+
+def _valid(kind: str, expression: re.Pattern, valid: Callable[[str], bool], text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := expression.search(text, at):
+        a, b = m.span(m.lastindex or 0)
+        z = next((z for z in _ends(kind, text, a, b) if valid(text[a:z])), None)
+        if z:
+            yield a, z
+        at = z or m.start() + 1
+
+
 def spans(text: str, threshold: float = 0.5, window: int = 40, near: float = 0.2, far: float = 0.3) -> list[tuple[str, int, int, str, float]]:
     found = []
     for kind, expression, valid, score, good, bad in RULES:
-        for m in expression.finditer(text):
-            group = m.lastindex or 0
-            a, b, value = m.start(group), m.end(group), m.group(group)
-            if not valid(value):
-                continue
+        for a, b in _valid(kind, expression, valid, text):
             around = f"{text[max(0, a - window) : a]} {text[b : b + window]}"
             own = score + near * bool(good and good.search(around)) - far * bool(bad and bad.search(around))
             if own >= threshold:
-                found.append((kind, a, b, value, round(min(1.0, own), 3)))
+                found.append((kind, a, b, text[a:b], round(min(1.0, own), 3)))
     kept: list = []
     for s in sorted(found, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
         if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):

@@ -28,6 +28,24 @@ def test_spans(text, kinds):
     assert all(text[a:b] == v for _, a, b, v, _ in found)
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ("card 4111 1111 1111 1111 05/27", ["4111 1111 1111 1111"]),
+    ("4111111111111111 123", ["4111111111111111"]),
+    ("4111-1111-1111-1111-123", ["4111-1111-1111-1111"]),
+    ("no. 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("4111111111111111 05 5500005555555559 123", ["4111111111111111", "5500005555555559"]),
+    ("BE68 5390 0754 7034 BIC", ["BE68 5390 0754 7034"]),
+    ("BE68539007547034 EUR", ["BE68539007547034"]),
+    ("ES91 2100 0418 4502 0005 1332 SWIFT", ["ES91 2100 0418 4502 0005 1332"]),
+    ("AB12 CDEF GH34 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("+49 30 1234 5678 2024 1999", ["+49 30 1234 5678"]),
+    ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]),
+    ("auth: password=hunter22x", ["hunter22x"]),
+])
+def test_what_follows_or_precedes_a_span_does_not_hide_it(text, values):
+    assert [s[3] for s in pii.spans(text)] == values
+
+
 def test_checksums():
     assert pii.luhn("4111-1111-1111-1111") and not pii.luhn("4111111111111112") and not pii.luhn("0" * 16)
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33") and not pii.mod97("XX82WEST12345698765432")
