@@ -4,8 +4,8 @@ Kinds: email, phone, ipv4, card (Luhn), iban (mod 97), ssn (areas that exist), s
 assigned to a name such as token or password). Of a proposed span that its validator rejects, as numbers behind a card or
 a word behind an IBAN run into it, the longest valid part from its start to the end of a group is taken, to a space if it can be; without one the
 search goes on behind its first character. A valid span starts at the kind's score, gains ``near`` if one of the kind's words stands within ``window`` characters, and loses ``far`` for
-a word that speaks against it. Spans of at least ``threshold`` count; of overlapping ones the higher score, then the longer,
-then the earlier one stays. Positions are in characters from 0, the end is exclusive.
+a word that speaks against it. Spans of at least ``threshold`` count; of overlapping ones a private key (with its body up to
+the END line, or as far as its base64 goes), else the higher score, then the longer, then the earlier one stays. Positions are in characters from 0, the end is exclusive.
 
 Cases: null and empty texts have no span; whole texts are searched; repeated rows have the same spans; an empty table has
 no rows. In redaction a text without a span is left as it is, and n_chars follows the new text.
@@ -61,6 +61,8 @@ def _words(s: str) -> re.Pattern:
     return re.compile(rf"(?<!\w)(?:{s})(?!\w)", re.I)
 
 
+BODY = r"|(?:\s*\n[A-Za-z][A-Za-z0-9-]*: [^\n]*)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+(?:\s+[A-Za-z0-9+/=]+(?=\s*(?:\n|\Z)))?"
+"""What follows the first line of a private key that has no END line: headers, lines of base64, a short last one."""
 RULES = [
     # kind, expression (its last group, if any, is the span), validator, score, words for it, words against it
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![\w-])"), _yes, 0.8, _words("e-?mail|mail|contact|kontakt|correo|courriel"), None),
@@ -72,11 +74,12 @@ RULES = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), area, 0.5, _words("ssn|social security"), _words("order|invoice|part|model")),
     ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{12,16}(?!\w)"), _yes, 0.8, _words("key|secret|aws"), None),
     ("secret", re.compile(r"(?i)(?<![A-Za-z0-9])(?:api_?-?key|access_?-?key|secret|token|passwd|password|pwd|auth)\s{0,4}[=:]\s{0,4}[\"']?([\w+/.~-]{8,})"), lambda s: any(c.isdecimal() for c in s) or len(s) >= 16, 0.7, None, _words("example|placeholder")),
-    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"), _yes, 0.9, None, None),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----" + BODY + ")?"), _yes, 0.9, None, None),
 ]
 HINT = np.zeros(256, bool)
-"""Bytes without which no rule can match: digits, @, =, : and -."""
-HINT[[*b"0123456789@=:"]] = True
+"""Bytes of which a rule needs one, but for keys (MARKS): digits, @, =, : and the first bytes of digits that aren't ASCII."""
+HINT[[*b"0123456789@=:", *range(0xD9, 0x100)]] = True
+MARKS = (b"AKIA", b"ASIA", b"PRIVATE KEY-----")
 
 
 def _ends(kind: str, text: str, a: int, b: int) -> Iterator[int]:
@@ -106,21 +109,18 @@ def spans(text: str, threshold: float = 0.5, window: int = 40, near: float = 0.2
             if own >= threshold:
                 found.append((kind, a, b, text[a:b], round(min(1.0, own), 3)))
     kept: list = []
-    for s in sorted(found, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
+    for s in sorted(found, key=lambda s: (not s[3].startswith("-----BEGIN"), -s[4], s[1] - s[2], s[1], s[0])):
         if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
             kept.append(s)
     return sorted(kept, key=lambda s: s[1])
 
 
 def _hinted(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a byte of HINT or the header of a key."""
+    """Rows whose text has a byte of HINT or one of MARKS; every row in which a rule can match is among them."""
     flat, offs, _ = text_buffers(column)
-    hit = np.flatnonzero(HINT[flat])
-    rows = np.unique(np.searchsorted(offs, hit, "right") - 1)
-    dash = np.flatnonzero((flat[:-4] == 45) & (flat[4:] == 45)) if len(flat) > 4 else np.zeros(0, int)
-    keys = np.unique(np.searchsorted(offs, dash, "right") - 1)
-    mark = b"PRIVATE KEY"
-    return np.union1d(rows, [k for k in keys if mark in flat[offs[k] : offs[k + 1]].tobytes()]).astype(np.int64)
+    hit, whole = np.flatnonzero(HINT[flat]), flat.tobytes()
+    marks = [m.start() for mark in MARKS for m in re.finditer(mark, whole)]
+    return np.unique(np.searchsorted(offs, np.concatenate([hit, np.array(marks, np.int64)]), "right") - 1)
 
 
 def finder(**params):
