@@ -6,9 +6,12 @@ linear softmax over that mean gives the language. Both layers are trained by sto
 bounded sample of labelled rows. The mean and the softmax's linear map commute, so that scoring looks up embedding times
 weights, a row of one float a language: the same function as the trained one, at a fraction of the price.
 
-Rejection: on held-out labelled rows a temperature is fitted to the logits by their likelihood, then the threshold is the
-``false_reject`` quantile of the calibrated confidence of the rows identified rightly, at most ``most_threshold``. A text
-without any subword has no evidence and is rejected.
+Rejection: on held-out labelled rows a temperature is fitted to the logits by their likelihood, with labels smoothed by
+one row in all, so that it stays finite where no row is wrong. The threshold of the calibrated confidence is the
+``false_reject`` quantile of the rows identified rightly: the lesser of that of the rows and Student's bound on a
+further row by the mean and deviation of their log-odds, as the rows alone are too few for small shares. A text is also rejected if
+the share of its subwords that training rows have is under ``least_known`` of what that quantile of held-out rows has: it
+is in no trained language. A text without any subword has no evidence and is rejected.
 
 Cases: a null or empty text, or one without letters, is rejected with null language and confidence 0; whole texts are
 read in pieces, so that length doesn't matter; ties go to the language that sorts first; repeated rows get the same
@@ -17,6 +20,7 @@ answer; if no row has both text and language, nothing can be learnt and every ro
 
 from __future__ import annotations
 
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +40,8 @@ class Model(NamedTuple):
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: np.ndarray  # (orders * buckets) bool: rows that a training text has
+    least: float  # share of known subwords
 
 
 def subwords(flat: np.ndarray, ends: np.ndarray, at: int, to: int, buckets: int):
@@ -70,7 +76,13 @@ def _features(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 2.0, false_reject: float = 0.001, most_threshold: float = 0.4, seed: int = 7) -> Model:
+def _student(share: float, free: int) -> float:
+    """Quantile of Student's distribution, by its expansion from the normal one."""
+    z, n = NormalDist().inv_cdf(share), max(1, free)
+    return z + (z**3 + z) / (4 * n) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n * n)
+
+
+def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 2.0, false_reject: float = 0.001, least_known: float = 0.5, seed: int = 7) -> Model:
     """Train on about ``rows_per_lang`` rows of each value of ``lang``, chosen by hash: the bound on what the driver reads.
 
     A fifth of them is held out for calibration. doc_id, text and lang are read.
@@ -78,7 +90,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim:
     known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0")
     per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
-        return Model((), np.zeros((len(ORDERS) * buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+        return Model((), np.zeros((len(ORDERS) * buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0, np.zeros(len(ORDERS) * buckets, bool), 0.0)
     share = F.create_map(*[F.lit(x) for k, n in sorted(per.items()) for x in (k, int(min(1.0, rows_per_lang / n) * 2**20))])
     picked = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**20)) < share[F.col("lang")]).limit(3 * rows_per_lang * len(per)).toPandas()
     picked = picked.sort_values(["lang", "doc_id", "text"], kind="stable")
@@ -115,18 +127,24 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim:
         p = np.exp((logits - logits.max(1, keepdims=True)) / t)
         return p / p.sum(1, keepdims=True)
 
-    temperature = min(np.geomspace(0.1, 10, 81), key=lambda t: -np.log(np.maximum(softmax(t)[np.arange(len(test)), y[test]], 1e-12)).mean()) if len(test) else 1.0
+    truth = np.eye(len(labels))[y[test]] * (1 - 1 / (len(test) + 1)) + 1 / (len(test) + 1) / len(labels)
+    temperature = min(np.geomspace(0.01, 100, 161), key=lambda t: -(truth * np.log(np.maximum(softmax(t), 1e-300))).sum(1).mean()) if len(test) else 1.0
     p = softmax(temperature)
-    right = np.sort(p.max(1)[p.argmax(1) == y[test]]) if len(test) else np.zeros(0)
-    threshold = min(most_threshold, float(right[int(false_reject * len(right))])) if len(right) else most_threshold
-    return Model(labels, scores.astype(np.float32), b, float(temperature), threshold)
-
-
-def predict(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language (-1: no evidence) and the calibrated confidence of each text."""
+    right = p.argmax(1) == y[test]
+    sure, share = np.minimum(p.max(1)[right], 1 - 1e-12), np.array([c @ seen[u] for u, c in (x[i] for i in test)])[right]
+    threshold = least = 0.0
+    if right.any():
+        odds = np.log(sure / np.maximum(1 - sure, 1e-12)) if len(labels) > 1 else np.zeros(len(sure))
+        low = min(np.quantile(odds, false_reject, method="lower"), odds.mean() + _student(false_reject, len(odds) - 1) * odds.std() * (1 + 1 / len(odds)))
+        threshold, least = float(1 / (1 + np.exp(-low))), least_known * float(np.quantile(share, false_reject, method="lower"))
+    return Model(labels, scores.astype(np.float32), b, float(temperature), threshold, seen, least)
+
+
+def predict(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language (-1: no evidence), the calibrated confidence and the share of known subwords of each text."""
     flat, offs, _ = text_buffers(column)
     n, ends = len(offs) - 1, offs[1:]
-    total, count = np.zeros((n, len(model.labels))), np.zeros(n, np.int64)
+    total, count, known = np.zeros((n, len(model.labels))), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for a in range(0, len(flat) if len(model.labels) else 0, PIECE):
         for pos, rows in subwords(flat, ends, a, min(len(flat), a + PIECE), len(model.scores) // len(ORDERS)):
             if not len(pos):
@@ -134,13 +152,14 @@ def predict(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             doc = np.searchsorted(ends, pos, "right")
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
             total[doc[first]] += np.add.reduceat(model.scores[rows], first, axis=0)
+            known[doc[first]] += np.add.reduceat(model.known[rows], first, dtype=np.int64)
             count[doc[first]] += np.diff(np.append(first, len(doc)))
     if not len(model.labels):
-        return np.full(n, -1), np.zeros(n)
+        return np.full(n, -1), np.zeros(n), np.zeros(n)
     logits = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
     p = np.exp(logits - logits.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    return np.where(count > 0, p.argmax(1), -1), np.where(count > 0, p.max(1), 0.0)
+    return np.where(count > 0, p.argmax(1), -1), np.where(count > 0, p.max(1), 0.0), known / np.maximum(count, 1)
 
 
 def identify(model: Model):
@@ -149,8 +168,8 @@ def identify(model: Model):
 
     @F.arrow_udf(SCHEMA)
     def langid(text: pa.Array) -> pa.Array:
-        best, sure = predict(model, text)
-        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(sure), pa.array((best >= 0) & (sure >= model.threshold))], ["lang", "confidence", "keep"])
+        best, sure, known = predict(model, text)
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(sure), pa.array((best >= 0) & (sure >= model.threshold) & (known >= model.least))], ["lang", "confidence", "keep"])
 
     return langid.asNondeterministic()  # else a filter on the result makes Catalyst evaluate it twice
 

@@ -45,3 +45,21 @@ def test_empty_and_unlabelled(spark):
     assert langid.language_id(empty).count() == 0 and langid.keep_identified(empty).count() == 0
     none = spark.createDataFrame([(1, "tal mer", None)], "doc_id long, text string, lang string")
     assert [r["keep"] for r in langid.language_id(none).collect()] == [False]
+
+
+def test_untrained_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    new = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek ésszel és lelkiismerettel bírván.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。",
+        "q83Jk+wMIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7AKIAQYWJKYKBCSQTTZ",
+    ]
+    model = langid.fit(docs)
+    texts = spark.createDataFrame(list(enumerate(new)), "doc_id int, text string")
+    assert [r["doc_id"] for r in langid.language_id(texts, model).collect() if r["keep"]] == []
+    trained = langid.language_id(docs, model)
+    assert trained.where("keep").count() >= 0.99 * docs.count() and 0.01 < model.temperature < 100
