@@ -3,7 +3,8 @@
 A vocabulary of ranks defines the merges: two adjacent symbols merge if their joined bytes are a token, lowest rank first.
 All pairs (left, right) that make a token are kept as sorted 64-bit keys. The symbols of many words lie in one flat array;
 in a round, each adjacent pair of a word is looked up by binary search, the lowest rank of every word is found by a
-segmented minimum, its occurrences merge from the left, and words without a pair leave the array. Distinct words are
+segmented minimum, its occurrences merge from the left, and words without a pair leave the array. A word of over ``LONG`` bytes
+would need a round for nearly each of its merges; its pairs wait in a heap instead, by rank and position, which merges in the same order. Distinct words are
 merged once for a worker and their tokens gathered for every occurrence. Decoding gathers the bytes of the tokens.
 
 Cases: a null text has null tokens, an empty one has none; special tokens' strings are ordinary text; texts are encoded
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from quire.llm.common import runs, text_buffers
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 NONE = np.int32(2**31 - 1)
+LONG = 1024
 MOST_WORDS = 200_000
 """Distinct words whose tokens a worker remembers; beyond that it starts afresh, which costs time only."""
 
@@ -52,7 +55,7 @@ class Bpe:
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         keys, values = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int32)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values, self.table = keys[order], values[order], None
         self.forget()
 
     def forget(self) -> None:
@@ -61,6 +64,42 @@ class Bpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, flat, and the number of tokens of each. No word is empty."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self.rounds(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        tokens, n = self.rounds([words[i] for i in short])
+        ends = np.cumsum(n)
+        each = dict(zip(short, (tokens[e - m : e] for e, m in zip(ends, n)))) | {i: self.merge_long(words[i]) for i in long}
+        parts = [each[i] for i in range(len(words))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Tokens of one word, its pairs in a heap by rank and position."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), self.values.tolist()))
+        rank_of, sym = self.table, self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of.get(sym[i] << 32 | sym[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i] if sym[i] >= 0 else n
+            if j >= n or rank_of.get(sym[i] << 32 | sym[j]) != r:
+                continue  # one of the two has merged since
+            sym[i], sym[j] = r, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (x := rank_of.get(r << 32 | sym[after[i]])) is not None:
+                    heappush(heap, (x, i))
+            if before[i] >= 0 and (x := rank_of.get(sym[before[i]] << 32 | r)) is not None:
+                heappush(heap, (x, before[i]))
+        return np.array([s for s in sym if s >= 0], np.int32)
+
+    def rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge(), by rounds over the symbols of all words at once."""
         lengths = np.array([len(w) for w in words], np.int64)
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)

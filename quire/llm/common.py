@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, of the session or the context.
+
+    Where it is unset a temporary folder of this machine is taken if the session runs on this machine alone, as in tests; on a
+    cluster that is an error, as executors don't share such a folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_.isDefined():
-            return set_.get()
-        at = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(at)
+    if at:
+        return at
+    context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = "file://" + tempfile.mkdtemp(prefix="quire-")
+    context.setCheckpointDir(at)
     return at
 
 
+_made: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for found in _made:
+        found.append(at)
+    return at
+
+
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """The folders that are made within, so that their owner can drop them."""
+    found: list[str] = []
+    _made.append(found)
+    try:
+        yield found
+    finally:
+        _made.remove(found)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -122,15 +149,20 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p) if n else p
 
 
-def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial over its bytes, mixed."""
+def word_sums(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial over the bytes of every word."""
     if not len(start):
         return np.zeros(0, np.uint64)
     lengths = end - start
     pos = np.repeat(start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
     k = pos - np.repeat(start, lengths)
     value = (b[pos].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[k]
-    return mix64(np.add.reduceat(value, np.concatenate(([0], np.cumsum(lengths)[:-1]))) + lengths.astype(np.uint64))
+    return np.add.reduceat(value, np.concatenate(([0], np.cumsum(lengths)[:-1])))
+
+
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word: the polynomial over its bytes, mixed with its length."""
+    return mix64(word_sums(b, start, end) + (end - start).astype(np.uint64))
 
 
 def segments(group: np.ndarray) -> np.ndarray:
@@ -139,25 +171,44 @@ def segments(group: np.ndarray) -> np.ndarray:
 
 
 def doc_words(flat: np.ndarray, offs: np.ndarray, fold=fold_bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and first byte of every word, made in pieces that end between words (or in a word longer than one).
+    """Hash, document and first byte of every word, made in pieces; a word longer than a piece is summed up over its pieces.
 
     ``fold`` maps bytes to bytes; words are the runs of bytes that it doesn't make 32.
     """
-    hashes, docs, starts, a, n = [], [], [], 0, len(flat)
+    sums, lengths, docs, starts, a, n = [], [], [], [], 0, len(flat)
+    base = np.uint64(0x9E3779B97F4A7C15)
     while a < n:
         z = min(n, a + PIECE)
         if z < n:
             cut, ends = np.flatnonzero(fold(flat[a:z]) == 32), offs[(offs > a) & (offs <= z)]
-            z = a + max(int(cut[-1]) if len(cut) else 0, int(ends[-1] - a) if len(ends) else 0) or z
-            z = z if z > a else min(n, a + PIECE)
+            to = max(int(cut[-1]) if len(cut) else 0, int(ends[-1] - a) if len(ends) else 0)
+            while not to and z > a + 4 and flat[z] & 0xC0 == 0x80:  # within a word, but not within a letter of it
+                z -= 1
+            z = a + to if to else z
         b = fold(flat[a:z])
         s, e = words_of(b, offs[(offs >= a) & (offs <= z)] - a)
-        hashes.append(word_hashes(b, s, e))
-        docs.append(np.searchsorted(offs, s + a, "right") - 1)
-        starts.append(s + a)
+        total, size, at = word_sums(b, s, e), e - s, s + a
+        doc = np.searchsorted(offs, at, "right") - 1
+        if len(s) and len(sums) and at[0] == a and starts[-1][-1] + lengths[-1][-1] == a and docs[-1][-1] == doc[0]:
+            before = int(lengths[-1][-1])  # this piece begins within the last word of the one before
+            with np.errstate(over="ignore"):
+                sums[-1][-1] += np.uint64(pow(int(base), before, 1 << 64)) * total[0]
+            lengths[-1][-1] += size[0]
+            total, size, doc, at = total[1:], size[1:], doc[1:], at[1:]
+        if len(at):
+            sums.append(total)
+            lengths.append(size)
+            docs.append(doc)
+            starts.append(at)
         a = z
     none = np.zeros(0, np.int64)
-    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*docs, none]), np.concatenate([*starts, none])
+    return mix64(np.concatenate([*sums, np.zeros(0, np.uint64)]) + np.concatenate([*lengths, none]).astype(np.uint64)), np.concatenate([*docs, none]), np.concatenate([*starts, none])
+
+
+def student(share: float, free: int) -> float:
+    """Quantile of Student's distribution, by its expansion from the normal one."""
+    z, n = NormalDist().inv_cdf(share), max(1, free)
+    return z + (z**3 + z) / (4 * n) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n * n)
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str, most: int = 50_000) -> DataFrame:

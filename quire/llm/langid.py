@@ -20,7 +20,6 @@ answer; if no row has both text and language, nothing can be learnt and every ro
 
 from __future__ import annotations
 
-from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import PIECE, fold_bytes, text_buffers
+from quire.llm.common import PIECE, fold_bytes, student, text_buffers
 
 ORDERS = (3, 4)
 SCHEMA = "struct<lang: string, confidence: double, keep: boolean>"
@@ -76,12 +75,6 @@ def _features(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _student(share: float, free: int) -> float:
-    """Quantile of Student's distribution, by its expansion from the normal one."""
-    z, n = NormalDist().inv_cdf(share), max(1, free)
-    return z + (z**3 + z) / (4 * n) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n * n)
-
-
 def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 2.0, false_reject: float = 0.001, least_known: float = 0.5, seed: int = 7) -> Model:
     """Train on about ``rows_per_lang`` rows of each value of ``lang``, chosen by hash: the bound on what the driver reads.
 
@@ -135,7 +128,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, buckets: int = 1 << 16, dim:
     threshold = least = 0.0
     if right.any():
         odds = np.log(sure / np.maximum(1 - sure, 1e-12)) if len(labels) > 1 else np.zeros(len(sure))
-        low = min(np.quantile(odds, false_reject, method="lower"), odds.mean() + _student(false_reject, len(odds) - 1) * odds.std() * (1 + 1 / len(odds)))
+        low = min(np.quantile(odds, false_reject, method="lower"), odds.mean() + student(false_reject, len(odds) - 1) * odds.std() * (1 + 1 / len(odds)))
         threshold, least = float(1 / (1 + np.exp(-low))), least_known * float(np.quantile(share, false_reject, method="lower"))
     return Model(labels, scores.astype(np.float32), b, float(temperature), threshold, seen, least)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import drop_dir, local_rows, materialize
 
 SEED, SHARE, MAX_EPOCHS = 17, (4, 5), 2
-DOMAINS = {"src0": "web", "src1": "web", "src2": "web", "src3": "web", "src4": "books", "src5": "books", "src6": "books", "src7": "news", "src8": "news", "src9": "news"}
+DOMAINS = {f"src{i}": "web" if i < 8 else "books" if i < 14 else "news" for i in range(20)}
 WEIGHTS = {"domain": {"web": 5, "books": 3, "news": 2}, "lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src0": 2}}
 """Whole numbers; what isn't named weighs 1, and a source of no named domain is in the domain 'other'."""
 LEAF = ["domain", "lang", "source"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_words, runs, segments, text_buffers
+from quire.llm.common import doc_words, runs, segments, student, text_buffers
 
 WORDS, PROJECT, BUCKETS, WINDOW = 64, 16, 1 << 14, 1 << 16
 SPACE = np.arange(256, dtype=np.uint8)
@@ -94,7 +94,8 @@ def _forward(x: np.ndarray, first: np.ndarray, w) -> tuple:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, hidden: int = 24, gate: int = 12, epochs: int = 30, rate: float = 0.01, batch: int = 64, keep_clean: float = 0.999, seed: int = 5) -> Model | None:
     """Train on about ``rows_per_class`` labelled documents of each class, chosen by hash: the bound on what is collected.
 
-    A fifth is held out; the threshold keeps ``keep_clean`` of its good documents, and is 0.5 at most.
+    A fifth is held out. The threshold keeps ``keep_clean`` of its good documents: it is the lesser of that quantile of their
+    scores and Student's bound on a further document by the mean and deviation of their log-odds, as few documents say little of a small share.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("quality"))
     per = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -145,8 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, hidden:
                 m2[k] = 0.999 * m2[k] + 0.001 * gk * gk
                 w[k] = w[k] - rate * (1 - step / (epochs * (len(order) // batch + 1) + 1)) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     p = np.array([1 / (1 + np.exp(-_forward(bags[i], np.array([0]), w)[-1][0])) for i in test])
-    good = np.sort(p[y[test] == 1])
-    threshold = min(0.5, float(good[int((1 - keep_clean) * len(good))])) if len(good) else 0.5
+    good = np.clip(p[y[test] == 1], 1e-12, 1 - 1e-12)
+    threshold = 0.5
+    if len(good):
+        odds = np.log(good / (1 - good))
+        low = min(np.quantile(odds, 1 - keep_clean, method="lower"), odds.mean() + student(1 - keep_clean, len(odds) - 1) * odds.std() * (1 + 1 / len(odds)))
+        threshold = float(1 / (1 + np.exp(-low)))
     return Model(mean, scale, tuple(w), threshold)
 
 

@@ -6,14 +6,18 @@ bits; a group is a connected component of near copies, and the row with the leas
 
 Candidates: each document has ``tables`` keys, each from the least two hashed 4-word shingles under two permutations. Any
 two documents that share a key are compared; nothing is capped. At a share s of common shingles a pair meets with a
-probability of 1 - (1 - s^2)^tables: 0.99 for s = 0.56 and 12 tables. Documents with equal fingerprints are one node.
+probability of 1 - (1 - s^2)^tables: 0.99 for s = 0.56 and 12 tables. A document of under ``SHORT`` words loses a larger share of its
+shingles by an edit and has as many keys more, of one least shingle each: 1 - (1 - s)^tables. Documents with equal fingerprints are one node.
+A key with more than ``most`` nodes is split into parts, and every two parts are compared in a task of their own: all
+pairs, whatever the number of documents that share a passage, in bounded memory.
 
 Comparison: the fingerprints of a key's block are stored as bit planes, plane p holding bit p of 64 documents in a word.
 A query flips each plane by its own bit, so that a set bit is a difference, and carry-save adders count the differences
 of 64 documents at once in vertical counters. After every 16 planes, words in which all exceed the radius are abandoned.
 
 Cases: a null text is in no group and stays; texts without letters, the empty one too, are grouped only with equal texts;
-repeated rows are copies of which one stays; of equal doc_ids the row read first stays; a null doc_id comes last.
+repeated rows are copies of which one stays; of equal doc_ids the text with the least hash stays; a null doc_id comes last.
+doc_ids have any type with an order. A word may have any length; texts without spaces between words are one word a line.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from quire.llm.common import doc_words, drop_dir, materialize, mix64, runs, segm
 from quire.llm.components import components
 
 U = np.uint64
-BITS, STEP, WIDE = 128, 16, 256
-#: The planes between two checks, and the size of a block from which it is searched breadth first.
+BITS, STEP, WIDE, SHORT = 128, 16, 256, 128
+#: Bits, the planes between two checks, the size of a block from which it is searched breadth first, words of a short document.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].copy().view(np.uint64).ravel()
 """Of each byte its 8 bits in the 8 bytes of a word: 255 of them can be added without a carry between bytes."""
 
@@ -52,10 +56,10 @@ def _signs(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(column: pa.Array, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both halves of the fingerprint, the keys (n, tables) and the number of words of each text."""
+    """Both halves of the fingerprint, the keys (n, 2 * tables; the latter half for short texts only) and the number of words of each text."""
     flat, offs, _ = text_buffers(column)
     n = len(offs) - 1
-    low, high, keys, words = np.zeros(n, U), np.zeros(n, U), np.zeros((n, tables), U), np.zeros(n, np.int64)
+    low, high, keys, words = np.zeros(n, U), np.zeros(n, U), np.zeros((n, 2 * tables), U), np.zeros(n, np.int64)
     rng = np.random.default_rng(20)
     odd = rng.integers(0, 2**63, 2 * tables, dtype=np.uint64) * U(2) + U(1)
     for a, b in runs(offs):
@@ -81,6 +85,7 @@ def fingerprints(column: pa.Array, tables: int) -> tuple[np.ndarray, np.ndarray,
         for t in range(tables):
             x, y = (np.minimum.reduceat(mix64(shingle * odd[2 * t + i]), first) for i in (0, 1))
             keys[a + d[first], t] = mix64(x ^ (y << U(1)) ^ U(t))
+            keys[a + d[first], tables + t] = mix64(x ^ U(tables + t))
     return low, high, keys, words
 
 
@@ -91,8 +96,9 @@ def fingerprint(tables: int):
     def simhash(text: pa.Array) -> pa.Array:
         low, high, keys, words = fingerprints(text, tables)
         none = words == 0
-        count = np.concatenate(([0], np.cumsum(np.where(none, 0, tables)))).astype(np.int32)
-        return pa.StructArray.from_arrays([pa.array(low.view(np.int64), mask=none), pa.array(high.view(np.int64), mask=none), pa.ListArray.from_arrays(pa.array(count), pa.array(keys[~none].ravel().view(np.int64)))], ["f0", "f1", "keys"], mask=text.is_null() if isinstance(text, pa.Array) else text.combine_chunks().is_null())
+        has = np.repeat(np.stack([~none, ~none & (words < SHORT)], 1), tables, axis=1)
+        count = np.concatenate(([0], np.cumsum(has.sum(1)))).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(low.view(np.int64), mask=none), pa.array(high.view(np.int64), mask=none), pa.ListArray.from_arrays(pa.array(count), pa.array(keys[has].view(np.int64)))], ["f0", "f1", "keys"], mask=text.is_null() if isinstance(text, pa.Array) else text.combine_chunks().is_null())
 
     return simhash
 
@@ -225,21 +231,31 @@ def forest_edges(radius: int):
 
 def _keys():
     """Two columns that tell rows apart: equal for rows that have doc_id and text in common, never null."""
-    return F.xxhash64("doc_id", "text").alias("k1"), F.coalesce("doc_id", F.lit(-1)).cast("bigint").alias("k2")
+    return F.xxhash64("doc_id", "text").alias("k1"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k2")
 
 
-def near_groups(docs: DataFrame, radius: int = 26, tables: int = 12) -> DataFrame:
+def blocks_of(keyed: DataFrame, most: int) -> DataFrame:
+    """nodes of every block from distinct rows (f0, f1, key): a key's, or two parts of a key that has more than ``most``."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / most).alias("parts"))
+    node = keyed.join(sizes, "key")
+    own = F.pmod(F.xxhash64("f0", "f1"), "parts")
+    pair = F.expr("transform(sequence(0L, parts - 1), i -> struct(least(i, own) as i, greatest(i, own) as j))")
+    tiles = node.withColumn("own", own).select("f0", "f1", "key", F.explode(pair).alias("tile"))
+    return tiles.groupBy("key", "tile").agg(F.collect_list(F.struct("f0", "f1")).alias("nodes")).where(F.size("nodes") > 1)
+
+
+def near_groups(docs: DataFrame, radius: int = 26, tables: int = 12, most: int = 16384) -> DataFrame:
     """k1, k2, doc_id, group_id (least doc_id of the group), group_size and keep of every row of docs. Computed at once."""
     spark = docs.sparkSession
     slim = docs.select("doc_id", *_keys(), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tg"), F.col("text").isNull().alias("void"), fingerprint(tables)("text").alias("x"))
-    slim = slim.select("doc_id", "k1", "k2", "void", F.monotonically_increasing_id().alias("rid"), F.coalesce("x.f0", "th").alias("f0"), F.coalesce("x.f1", "tg").alias("f1"), "x.keys")
+    slim = slim.select("doc_id", "k1", "k2", "void", "th", F.monotonically_increasing_id().alias("rid"), F.coalesce("x.f0", "th").alias("f0"), F.coalesce("x.f1", "tg").alias("f1"), "x.keys")
     slim, at = materialize(slim, "simhash")
-    blocks = slim.select("f0", "f1", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.collect_list(F.struct("f0", "f1")).alias("nodes")).where(F.size("nodes") > 1)
+    blocks = blocks_of(slim.select("f0", "f1", F.explode("keys").alias("key")).distinct(), most)
     found = blocks.select(F.explode(forest_edges(radius)("nodes")).alias("e"))
     root = components(found.select(F.struct(F.col("e.a0").alias("f0"), F.col("e.a1").alias("f1")).alias("a"), F.struct(F.col("e.b0").alias("f0"), F.col("e.b1").alias("f1")).alias("b")))
     root = root.select(F.col("node.f0").alias("f0"), F.col("node.f1").alias("f1"), "root")
     rows = slim.drop("keys").where("not void").join(root, ["f0", "f1"], "left").withColumn("root", F.coalesce("root", F.struct("f0", "f1")))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("m"), F.count("*").alias("group_size"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "rid")).alias("m"), F.count("*").alias("group_size"))
     grouped = rows.join(first, "root").select("k1", "k2", "doc_id", F.col("m.doc_id").alias("group_id"), "group_size", (F.col("rid") == F.col("m.rid")).alias("keep"))
     alone = slim.where("void").select("k1", "k2", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep"))
     out, _ = materialize(grouped.unionAll(alone), "groups")

@@ -1,13 +1,14 @@
 """Operator 10, exact top-k search over a pivot-distance index (iDistance, Jagadish et al., 2005).
 
 Each vector is keyed by its nearest pivot and its distance from it; the vectors of a pivot, sorted by distance, form annuli
-of about ``cell`` members. A query first searches the annulus it lies in, which gives the radius within which its k best
+of about ``cell`` members, cut at quantiles of the distance, as many as the pivot has vectors for. A query first searches the annulus it lies in, which gives the radius within which its k best
 lie. By the triangle inequality a vector x of pivot p can be within radius r of q only if |d(q, p) - d(x, p)| <= r, so the
 query then visits just the annuli whose span of distances comes that near, and in each only the members within; there the
 radius shrinks further before results leave. Every row is a query, and results are exact.
 
 Scale: the index (pivot, least and greatest distance of each annulus) has a row for ``cell`` vectors and is sent to the
-tasks; the vectors themselves are shuffled to the annuli. Where distances concentrate, as for random vectors in many
+tasks. A vector is shuffled to its own annulus, where it stays the one copy of a member, and as a query once to each annulus that its bounds don't exclude; an annulus
+holds its members while the queries pass by in batches. Where distances concentrate, as for random vectors in many
 dimensions, the bounds exclude little and the work is that of comparing all pairs, whatever the index.
 
 Cases: see quire.llm.vectors. A query has fewer than k results only where there are fewer other ids.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import drop_dir, materialize
-from quire.llm.vectors import DIGITS, FOUND, lists, matrix, merge, nearest, usable
+from quire.llm.vectors import DIGITS, FOUND, lists, matrix, merge, nearest, packed, streamed, unpacked, usable
 
 SLACK = 4e-6
 """Room for rounding: rows whose rounded distances tie must all be compared."""
@@ -58,13 +59,12 @@ def within(qi, q, qr, qd, mi, m, md, k: int) -> tuple[np.ndarray, np.ndarray, np
     return ids[order], dist[order], row[order]
 
 
-def exact_topk(vectors: DataFrame, k: int = 10, pivots: int = 16, cell: int = 4096, queries: int = 32768, seed: int = 3) -> DataFrame:
-    """vec_id, neighbor_id, rank (from 1) and distance (Euclidean) of every row's k nearest others. Computed in two jobs."""
+def exact_topk(vectors: DataFrame, k: int = 10, pivots: int = 16, cell: int = 16384, seed: int = 3) -> DataFrame:
+    """vec_id, neighbor_id, rank (from 1) and distance (Euclidean) of every row's k nearest others. The index is computed at once."""
     spark = vectors.sparkSession
     rows, n, dim = usable(vectors)
     if n < 2:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("neighbor_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).where("false")
-    rows, at = materialize(rows, "topk")
     # pivots: the vectors with the least hashes, thinned to those farthest apart; their number is fixed
     pool = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(8 * pivots).toPandas()
     pool = np.array(pool["embedding"].tolist(), np.float64).reshape(-1, dim)
@@ -80,13 +80,14 @@ def exact_topk(vectors: DataFrame, k: int = 10, pivots: int = 16, cell: int = 40
             x = matrix(b.column("embedding"), dim)
             d = np.sqrt(_squares(x, pivot))
             p = d.argmin(1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(x)), p])], ["vec_id", "v", "p", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), packed(x), pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(x)), p])], ["vec_id", "v", "p", "d"])
 
-    keyed = rows.mapInArrow(key, "vec_id bigint, v binary, p int, d double")
+    keyed, at = materialize(rows.mapInArrow(key, "vec_id bigint, v binary, p int, d double"), "topk")
     # annuli: cut points at quantiles of distance, as many as the pivot's members need
     sizes = {r["p"]: r["n"] for r in keyed.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    cuts = {r["p"]: r["c"] for r in keyed.groupBy("p").agg(F.percentile_approx("d", [i / 64 for i in range(1, 64)], 1000).alias("c")).collect()}
-    cuts = {p: np.unique(np.array(c)[np.linspace(0, 62, max(1, -(-sizes[p] // cell)) + 1).astype(int)[1:-1]]) for p, c in cuts.items()}
+    many = max(1, -(-max(sizes.values()) // cell))  # annuli of the largest pivot
+    cuts = {r["p"]: r["c"] for r in keyed.groupBy("p").agg(F.percentile_approx("d", [i / many for i in range(1, many)] or [0.5], 100 * many + 1000).alias("c")).collect()}
+    cuts = {p: np.unique(np.array(c)[np.linspace(0, len(c) - 1, -(-sizes[p] // cell) + 1).astype(int)[1:-1]]) for p, c in cuts.items()}
     first = {p: sum(len(cuts[q]) + 1 for q in cuts if q < p) for p in cuts}
 
     def cell_of(p: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -98,56 +99,53 @@ def exact_topk(vectors: DataFrame, k: int = 10, pivots: int = 16, cell: int = 40
     def place(batches):
         for b in batches:
             c = cell_of(np.asarray(b.column("p")), np.asarray(b.column("d")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c)], ["vec_id", "v", "p", "d", "c"])
-
-    placed = keyed.mapInArrow(place, "vec_id bigint, v binary, p int, d double, c bigint")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c), pa.array(np.ones(len(c), bool))], ["vec_id", "v", "p", "d", "c", "member"])
 
     def unpack(t: pa.Table):
-        return np.asarray(t.column("vec_id")).astype(np.int64), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dim), np.asarray(t.column("d"))
+        return np.asarray(t.column("vec_id")).astype(np.int64), unpacked(t.column("v"), dim), np.asarray(t.column("d"))
 
-    def own(group: pa.Table) -> pa.Table:
+    def own(members: pa.Table, group: pa.Table) -> pa.RecordBatch:
+        mi, m, md = unpack(members)
         ids, x, d = unpack(group)
-        order = np.argsort(d, kind="stable")
-        gi, gd, row = within(ids, x, np.full(len(ids), np.inf), d, ids[order], x[order], d[order], k)
-        many, last = np.bincount(row, minlength=len(ids)), np.full(len(ids), np.inf)
-        ends = np.cumsum(many)
-        last[many >= k] = gd[ends[many >= k] - 1]
-        return pa.table([group.column("vec_id"), group.column("v"), group.column("p"), group.column("d"), group.column("c"), pa.array(last), *lists(gi, gd, row, len(ids))], ["vec_id", "v", "p", "d", "c", "r", "ids", "ds"])
-
-    seen, at_seen = materialize(placed.groupBy("c").applyInArrow(own, f"vec_id bigint, v binary, p int, d double, c bigint, r double, {FOUND}"), "topk")
+        order = np.argsort(md, kind="stable")
+        gi, gd, row = within(ids, x, np.full(len(ids), np.inf), d, mi[order], m[order], md[order], k)
+        found, last = np.bincount(row, minlength=len(ids)), np.full(len(ids), np.inf)
+        ends = np.cumsum(found)
+        last[found >= k] = gd[ends[found >= k] - 1]
+        (b,) = group.to_batches() or [None]
+        return pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("p"), b.column("d"), b.column("c"), pa.array(last), *lists(gi, gd, row, len(ids))], ["vec_id", "v", "p", "d", "c", "r", "ids", "ds"])
+
+    placed = keyed.mapInArrow(place, "vec_id bigint, v binary, p int, d double, c bigint, member boolean")
+    seen, _ = materialize(streamed(placed, ["c"], own, True, f"vec_id bigint, v binary, p int, d double, c bigint, r double, {FOUND}"), "topk-annuli")
+    drop_dir(spark, at)
     index = np.array([tuple(r) for r in seen.groupBy("c").agg(F.min("p").cast("double").alias("p"), F.min("d").alias("lo"), F.max("d").alias("hi")).select(F.col("c").cast("double"), "p", "lo", "hi").collect()])
     ic, ip, lo, hi = index[:, 0].astype(np.int64), index[:, 1].astype(int), index[:, 2], index[:, 3]
-    parts = max(1, -(-n // queries))
 
     def visit(batches):
         for b in batches:
-            ids, x, _ = unpack(pa.Table.from_batches([b]))
+            ids, x, own_d = unpack(pa.Table.from_batches([b]))
             r, c = np.asarray(b.column("r")), np.asarray(b.column("c"))
             d = np.sqrt(_squares(x, pivot))
-            part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-            for s in range(parts):  # as a member: in its own annulus, for each part of the queries
-                yield _rows(b, np.arange(len(ids)), c, np.full(len(ids), s), np.ones(len(ids), bool), np.asarray(b.column("d")), r)
+            yield _rows(b, np.arange(len(ids)), c, True, own_d, r)
             for a in range(len(ic)):
                 near = (lo[a] - SLACK <= d[:, ip[a]] + r) & (d[:, ip[a]] - r <= hi[a] + SLACK) & (c != ic[a])
                 if near.any():
                     i = np.flatnonzero(near)
-                    yield _rows(b, i, np.full(len(i), ic[a]), part[i], np.zeros(len(i), bool), d[i, ip[a]], r[i])
+                    yield _rows(b, i, np.full(len(i), ic[a]), False, d[i, ip[a]], r[i])
 
-    def _rows(b, i, c, s, member, d, r):
+    def _rows(b, i, c, member, d, r):
         take = b.take(pa.array(i))
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(member), take.column("vec_id"), take.column("v"), pa.array(d), pa.array(r)], ["c", "part", "member", "vec_id", "v", "d", "r"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(np.full(len(i), member)), take.column("vec_id"), take.column("v"), pa.array(d), pa.array(r)], ["c", "member", "vec_id", "v", "d", "r"])
 
-    def others(group: pa.Table) -> pa.Table:
+    def others(members: pa.Table, group: pa.Table) -> pa.RecordBatch:
+        mi, m, md = unpack(members)
         ids, x, d = unpack(group)
-        member, r = np.asarray(group.column("member")), np.asarray(group.column("r"))
-        order = np.flatnonzero(member)[np.argsort(d[member], kind="stable")]
-        q = np.flatnonzero(~member)
-        gi, gd, row = within(ids[q], x[q], r[q], d[q], ids[order], x[order], d[order], k)
-        return pa.table([pa.array(ids[q]), *lists(gi, gd, row, len(q))], ["vec_id", "ids", "ds"])
-
-    sent = seen.select("vec_id", "v", "d", "c", "r").mapInArrow(visit, "c bigint, part int, member boolean, vec_id bigint, v binary, d double, r double")
-    found = sent.groupBy("c", "part").applyInArrow(others, f"vec_id bigint, {FOUND}").unionAll(seen.select("vec_id", "ids", "ds"))
-    drop_dir(spark, at)
+        order = np.argsort(md, kind="stable")
+        gi, gd, row = within(ids, x, np.asarray(group.column("r")), d, mi[order], m[order], md[order], k)
+        return pa.RecordBatch.from_arrays([pa.array(ids), *lists(gi, gd, row, len(ids))], ["vec_id", "ids", "ds"])
+
+    sent = seen.select("vec_id", "v", "d", "c", "r").mapInArrow(visit, "c bigint, member boolean, vec_id bigint, v binary, d double, r double")
+    found = streamed(sent, ["c"], others, False, f"vec_id bigint, {FOUND}").unionAll(seen.select("vec_id", "ids", "ds"))
     return merge(found, k, "distance")
 
 

@@ -1,12 +1,14 @@
 """What both vector searches share: usable rows, numpy views of them, and the exact distances by which results are ranked.
 
-Rows without an id, or whose vector is null, empty, of another length than the most common one, or has null or infinite
-parts, take no part in a search. Of several vectors under one id the least (as an array) counts, so that repeated rows are
-one. Distances are rounded to 6 digits and ties go to the smaller id.
+Ids are whole numbers. Rows without an id, or whose vector is null, empty, of another length than the most common one, or has
+parts that are null, infinite or no number, take no part in a search. Of several vectors under one id the least (as an array) counts, so that repeated rows are
+one. Distances are rounded to 6 digits and ties go to the smaller id. Columns other than vec_id and embedding are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ DIGITS = 6
 def usable(vectors: DataFrame) -> tuple[DataFrame, int, int]:
     """vec_id and embedding (array<float>) of the rows that take part, their number and dimension."""
     e = F.col("embedding")
-    sound = vectors.select("vec_id", e.cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e30))))
+    sound = vectors.select("vec_id", e.cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     sizes = sound.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()
     if not sizes:
         return sound, 0, 0
@@ -49,6 +51,58 @@ def nearest(ids: np.ndarray, distance: np.ndarray, query: np.ndarray, k: int) ->
     return order[nth < k]
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of x as float32 bytes."""
+    wide = 4 * x.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, np.float32))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """What packed() made, as float64."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+
+
+def streamed(rows: DataFrame, keys: list[str], search: Callable[[pa.Table, pa.Table], pa.RecordBatch], own: bool, schema: str) -> DataFrame:
+    """``search(members, rows)`` for the rows of every block of equal ``keys``, which have a boolean column member.
+
+    A block's members are sorted before its other rows and held; the others pass by in batches, however many they are, so that
+    each row is shuffled once for a block and memory holds the members of one block. ``own``: members are searched for too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, members = None, [], None
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            nonlocal members
+            if members is None and held:
+                members = pa.Table.from_batches(held)
+                if own:
+                    for h in held:
+                        yield search(members, pa.Table.from_batches([h]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in keys], 1)
+            is_member = np.asarray(b.column("member"))
+            cut = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]).any(1) | (is_member[1:] != is_member[:-1]))))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
+                key = tuple(code[a])
+                if key != last:
+                    yield from ready()
+                    last, held, members = key, [], None
+                if is_member[a]:
+                    held.append(b.slice(a, z - a))
+                else:
+                    yield from ready()
+                    if members is not None:
+                        yield search(members, pa.Table.from_batches([b.slice(a, z - a)]))
+        yield from ready()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("member")).mapInArrow(run, schema)
+
+
 def _best(k: int):
     @F.arrow_udf("array<struct<d: double, id: bigint>>")
     def best(ids: pa.Array, ds: pa.Array) -> pa.Array:

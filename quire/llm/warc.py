@@ -6,9 +6,13 @@ length of each member, by which a single record can be read. Files of several me
 and memory holds a chunk and a record's header, never a record. Files are read and written through pyarrow's file systems
 (file:, hdfs:, s3:), under a name of the attempt, and renamed when complete, so that a lost or repeated task does no harm.
 
-Cases: a file that breaks off or has a broken header keeps its whole records; the index then ends in a row of status
-'truncated' or 'malformed' with length 0 (a record of over 256 KB that breaks off leaves a broken member at the end of the
-new file, which the index doesn't list). An empty file has no records. Repeated records are members of their own. For
+Cases: header lines end in CRLF or LF, and a record may be followed by any number of line ends, also none at the end of a
+file. A record whose header can't be read is passed over up to the next line that begins with 'WARC/'; the index tells where, in a row of status 'malformed'
+with length 0. A record is also malformed if neither an empty line, a record nor the file's end follows its body, as where its Content-Length is wrong:
+it keeps its member, and the search for the next one goes on from the first line within it that begins with 'WARC/' (the source is opened once more for
+that, the only case in which it is inflated twice). If the stream breaks off or its gzip is damaged, whole records before that stay, and the index ends in a row of status
+'truncated' or 'malformed' with length 0 (of a record of over 256 KB the new file then has a broken member at its end, which the index doesn't list).
+An empty file has no records. Repeated records are members of their own. A new file takes the place of one of its name. For
 tables of pages: a null url is an empty one, null html a record without a body, rows are kept as they are.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -60,60 +65,126 @@ def inflate(source, chunk: int = CHUNK) -> Iterator[bytes]:
         raise EOFError
 
 
-def rewrite(source, sink, file: str, level: int = 6) -> Iterator[dict]:
-    """Copy the records of ``source`` to ``sink``, each as a gzip member; yields an index row for each."""
-    chunks, buffer, offset, seq = inflate(source), bytearray(), 0, 0
+class Window:
+    """The raw bytes of a stream, some of them at hand; ``at`` counts those that are past."""
 
-    def more() -> bool:
-        for c in chunks:
+    def __init__(self, open_, chunk: int):
+        self.open, self.chunk = open_, chunk
+        self.chunks, self.buffer, self.at = inflate(open_(), chunk), bytearray(), 0
+
+    def more(self) -> bool:
+        for c in self.chunks:
             if c:
-                buffer.extend(c)
+                self.buffer.extend(c)
                 return True
         return False
 
-    status = "ok"
+    def skip(self, n: int) -> bytes:
+        taken = bytes(self.buffer[:n])
+        del self.buffer[:n]
+        self.at += len(taken)
+        return taken
+
+    def have(self, n: int) -> bool:
+        while len(self.buffer) < n:
+            if not self.more():
+                return False
+        return True
+
+    def back(self, to: int) -> None:
+        """Go back to raw byte ``to``: the stream is opened again."""
+        self.chunks, self.buffer, self.at = inflate(self.open(), self.chunk), bytearray(), 0
+        while self.at < to:
+            if not self.have(1):
+                return
+            self.skip(to - self.at)
+
+    def seek_record(self) -> None:
+        """Move to the next line that begins with WARC/, or to the end."""
+        self.skip(1)
+        while (i := self.buffer.find(b"\nWARC/")) < 0:
+            self.skip(max(0, len(self.buffer) - 5))
+            if not self.more():
+                self.skip(len(self.buffer))
+                return
+        self.skip(i + 1)
+
+    def header(self) -> bytes | None:
+        """The lines up to the empty one, taken; None if there is no such line within HEADER bytes, and nothing is taken."""
+        seen = 0
+        while not (m := EMPTY_LINE.search(self.buffer, max(0, seen - 4))):
+            seen = len(self.buffer)
+            if seen > HEADER or not self.more():
+                return None
+        return self.skip(m.end())
+
+
+HEADER = 1 << 20
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+
+
+def rewrite(open_, sink, file: str, level: int = 6) -> Iterator[dict]:
+    """Copy the records of the stream that ``open_()`` gives to ``sink``, each as a gzip member; yields an index row for each."""
+    w, offset, seq = Window(open_, CHUNK), 0, 0
+
+    def row(length: int, raw: int, fields: dict, status: str) -> dict:
+        page = fields.get("warc-page-id", "")
+        return dict(zip(FIELDS, (file, seq, offset, length, raw, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), int(page) if page.isdecimal() else None, status)))
+
     try:
         while True:
-            while buffer[:1] in (b"\r", b"\n"):
-                del buffer[:1]
-            if not buffer and not more():
+            while w.have(1) and w.buffer[:1] in (b"\r", b"\n"):
+                w.skip(1)
+            if not w.have(1):
                 return
-            if buffer[:1] in (b"\r", b"\n"):
-                continue
-            while (end := buffer.find(b"\r\n\r\n")) < 0:
-                if len(buffer) > 1 << 20:
-                    status = "malformed"
-                    raise ValueError
-                if not more():
-                    raise EOFError
-            head = bytes(buffer[: end + 4])
-            lines = head.decode("utf-8", "replace").split("\r\n")
+            head = w.header()
+            if head is None and len(w.buffer) <= HEADER and w.buffer.startswith(b"WARC/") and w.buffer.find(b"\nWARC/") < 0:
+                raise EOFError  # the file ends within a header
+            lines = (head or b"").decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
-            if not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdecimal():
-                status = "malformed"
-                raise ValueError
-            left, z, size = len(head) + int(fields["content-length"]) + 4, zlib.compressobj(level, zlib.DEFLATED, 31), 0
-            raw, parts = left, []
+            if not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdecimal() or any(x.startswith("WARC/") for x in lines[1:]):
+                yield row(0, 0, {}, "malformed")
+                seq += 1
+                inner = head.find(b"\nWARC/", 1) + 1 if head else 0
+                if head:
+                    w.buffer[:0], w.at = head[inner:], w.at - len(head) + inner
+                if not inner:
+                    w.seek_record()
+                continue
+            left, z, size, raw, parts, tail, inner = int(fields["content-length"]), zlib.compressobj(level, zlib.DEFLATED, 31), 0, len(head), [], b"", -1
+            parts.append(z.compress(head))
             while left:
-                if not buffer and not more():
+                if not w.have(1):
                     raise EOFError
-                take = bytes(buffer[:left])
-                del buffer[:left]
-                left -= len(take)
+                at = w.at
+                take = w.skip(left)
+                left, raw = left - len(take), raw + len(take)
+                if inner < 0 and (i := (tail + take).find(b"\nWARC/")) >= 0:
+                    inner = at - len(tail) + i + 1
+                tail = (tail + take)[-5:]
                 parts.append(z.compress(take))
                 if sum(map(len, parts)) > CHUNK:  # until then nothing is written, so that a short record is whole or absent
                     size += sum(map(len, parts))
                     sink.write(b"".join(parts))
                     parts = []
-            parts.append(z.flush())
+            gap = b""
+            while len(gap) < 4 and gap != b"\n\n" and w.have(1) and w.buffer[:1] in (b"\r", b"\n"):
+                gap += w.skip(1)
+            parts.append(z.compress(b"\r\n\r\n") + z.flush())
             sink.write(b"".join(parts))
             size += sum(map(len, parts))
-            page = fields.get("warc-page-id", "")
-            yield dict(zip(FIELDS, (file, seq, offset, size, raw, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), int(page) if page.isdecimal() else None, "ok")))
+            while w.have(1) and w.buffer[:1] in (b"\r", b"\n"):
+                w.skip(1)
+            sound = gap in (b"\r\n\r\n", b"\n\n") or not w.have(1) or (w.have(5) and w.buffer.startswith(b"WARC/"))
+            yield row(size, raw + 4, fields, "ok" if sound else "malformed")
             offset, seq = offset + size, seq + 1
-    except (EOFError, zlib.error, ValueError) as e:
-        status = "truncated" if isinstance(e, EOFError) else "malformed"
-        yield dict(zip(FIELDS, (file, seq, offset, 0, 0, None, None, None, None, status)))
+            if not sound:
+                if inner >= 0:
+                    w.back(inner)
+                else:
+                    w.seek_record()
+    except (EOFError, zlib.error) as e:
+        yield row(0, 0, {}, "truncated" if isinstance(e, EOFError) else "malformed")
 
 
 def normalize_file(path: str, to: str, level: int = 6) -> Iterator[dict]:
@@ -123,12 +194,14 @@ def normalize_file(path: str, to: str, level: int = 6) -> Iterator[dict]:
     sink_fs, folder = _open(to)
     context = TaskContext.get()
     mine = f"{folder}/.{name}.{context.taskAttemptId() if context else 0}"
-    with source_fs.open_input_stream(source, compression=None, buffer_size=CHUNK) as a, sink_fs.open_output_stream(mine, compression=None) as b, sink_fs.open_output_stream(f"{mine}.idx", compression=None) as index:
-        for row in rewrite(a, b, name, level):
+    with sink_fs.open_output_stream(mine, compression=None) as b, sink_fs.open_output_stream(f"{mine}.idx", compression=None) as index:
+        for row in rewrite(lambda: source_fs.open_input_stream(source, compression=None, buffer_size=CHUNK), b, name, level):
             index.write(json.dumps(row).encode() + b"\n")
             yield row
-    sink_fs.move(mine, f"{folder}/{name}")
-    sink_fs.move(f"{mine}.idx", f"{folder}/{name}.idx")
+    for a, b in ((mine, f"{folder}/{name}"), (f"{mine}.idx", f"{folder}/{name}.idx")):
+        if sink_fs.get_file_info(b).type != fs.FileType.NotFound:  # of an attempt before, which some file systems don't overwrite
+            sink_fs.delete_file(b)
+        sink_fs.move(a, b)
 
 
 def normalize(paths: DataFrame, to: str, level: int = 6) -> DataFrame:

@@ -26,6 +26,20 @@ def test_equals_the_reference_and_decodes(texts):
     assert bpe.load().decode(ids)[0].tobytes().decode() == "".join(texts)
 
 
+def test_long_words_by_heap_equal_rounds():
+    import random
+    import time
+
+    rng = random.Random(1)
+    words = ["a" * 5000, "".join(rng.choices("acgt", k=3000)), "".join(rng.choices("etaoinshrdlu", k=2500)), "the" * 900, "short"]
+    ids, n = bpe.load().merge([w.encode() for w in words])
+    want, m = bpe.load().rounds([w.encode() for w in words])
+    assert n.tolist() == m.tolist() and ids.tolist() == want.tolist()
+    at = time.time()
+    bpe.load().merge(["".join(rng.choices("etaoinshrdlu", k=100_000)).encode()])
+    assert time.time() - at < 15
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_WORDS", 1)
     for _ in range(2):

@@ -20,6 +20,46 @@ def test_held_out_accuracy_and_rejection(spark):
         assert got[i]["lang"] is None and got[i]["keep"] is False and got[i]["confidence"] == 0
 
 
+def test_scores_equal_a_slow_mean_and_softmax(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows_per_lang=60)
+    size = len(model.scores) // 2
+    texts = [t for _, t, _ in rows(12)] + ["Tal, MER! 9 ondo", "a", ""]
+    best, sure, known = langid.predict(model, pa.array(texts))
+    for i, text in enumerate(texts):
+        t = "".join(c.lower() if c.isalpha() else " " for c in text).encode()
+        found = []
+        for order, at in ((3, 0), (4, size)):
+            for p in range(len(t) - order + 1):
+                gram = t[p : p + order]
+                if b" " in gram[1:-1]:
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 0x01000193 + c) % 2**32
+                h = h * 0x9E3779B1 % 2**32
+                found.append(at + (h ^ (h >> 15)) % size)
+        if not found:
+            assert best[i] == -1 and sure[i] == 0
+            continue
+        logits = [(np.mean([model.scores[r][k] for r in found]) + model.bias[k]) / model.temperature for k in range(2)]
+        p = [math.exp(x - max(logits)) for x in logits]
+        assert best[i] == int(np.argmax(p)) and abs(sure[i] - max(p) / sum(p)) < 1e-4 and abs(known[i] - np.mean([model.known[r] for r in found])) < 1e-9
+
+
+def test_ties_go_to_the_first_language():
+    import numpy as np
+    import pyarrow as pa
+
+    model = langid.Model(("aa", "bb"), np.zeros((2 * 64, 2), np.float32), np.zeros(2, np.float32), 1.0, 0.0, np.ones(128, bool), 0.0)
+    assert langid.predict(model, pa.array(["some text"]))[0].tolist() == [0]
+
+
 def test_pieces_make_no_difference(monkeypatch, spark):
     import pyarrow as pa
 

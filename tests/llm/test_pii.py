@@ -51,6 +51,30 @@ def test_checksums():
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33") and not pii.mod97("XX82WEST12345698765432")
 
 
+@pytest.mark.parametrize("iban", ["BR1800360305000010009795493C1", "QA58DOHB00001234567890ABCDEFG", "MU17BOMM0101101030300200000MUR", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_of_any_country(iban):
+    assert [s[:1] + s[3:4] for s in pii.spans(f"pay to {iban} now")] == [("iban", iban)]
+
+
+def test_generated_texts_equal_spans_of_each(spark):
+    import random
+    import string
+
+    rng = random.Random(4)
+    makes = [lambda: "AKIA" + "".join(rng.choices(string.ascii_uppercase, k=16)), lambda: "tel +٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨", lambda: "BR1800360305000010009795493C1", lambda: "x@y.example.org", lambda: f"pwd={'q' * rng.randint(8, 20)}", lambda: "word"]
+    docs = [(i, " ".join(rng.choice(makes)() for _ in range(rng.randint(1, 4)))) for i in range(200)]
+    want = sorted((i, *s) for i, t in docs for s in pii.spans(t))
+    assert sorted(tuple(r) for r in pii.find_pii(spark.createDataFrame(docs, "doc_id int, text string")).collect()) == want and {w[1] for w in want} == {"secret", "phone", "iban", "email"}
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    at = time.time()
+    assert len(pii.spans("mail a@b.example.com or 10.20.30.40 host " * 50000)) == 100000
+    assert time.time() - at < 20
+
+
 def test_rows(spark):
     long = "word " * 50000 + "a@b.example.com"
     data = [(1, "x a@b.example.com y", 18), (1, "x a@b.example.com y", 18), (2, None, None), (None, "", 0), (3, long, len(long)), (4, "é🙂 a@b.example.com", 1)]

@@ -44,3 +44,43 @@ def test_empty_documents(spark):
 
 def test_a_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_nulls_long_texts_repeats_and_extra_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SF, "documents").withColumn("row", F.lit("r")).withColumn("red", F.lit(1)).withColumn("epoch", F.lit(True))
+    some = docs.limit(20)
+    odd = some.limit(1).withColumn("text", F.lit(None).cast("string")).unionAll(some.limit(1).withColumn("text", F.lit(""))).unionAll(some.limit(1).withColumn("text", F.repeat("text", F.lit(400)))).withColumn("source", F.lit(None).cast("string"))
+    docs.unionAll(some).unionAll(some).unionAll(odd).withColumn("doc_id", F.when(F.col("doc_id") % 50 > 0, F.col("doc_id"))).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(_folders(spark))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert rows and all(r["round_trip"] for r in rows)
+    left = {f.split("-")[0] + "-" + f.split("-")[1] for f in set(_folders(spark)) - before}
+    assert left == {"pipeline-mixing"}  # what the result still reads
+
+
+def _folders(spark):
+    import os
+
+    from quire.llm.common import shared_dir
+
+    return os.listdir(shared_dir(spark).removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
+    import pytest
+
+    from quire.llm import common
+
+    class Context:
+        master = "spark://x:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, *a: None})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())

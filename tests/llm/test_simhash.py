@@ -94,12 +94,45 @@ def test_rows_with_nulls_repeats_and_clashing_names(spark):
 def test_long_texts_in_pieces(monkeypatch):
     from quire.llm import common
 
-    texts = pa.array(["lorem ipsum dolor sit amet " * 400 + "end", "x" * 5000, "", None, "Ärger ÉTÉ été"])
+    texts = pa.array(["lorem ipsum dolor sit amet " * 400 + "end", "x" * 5000, "", None, "Ärger ÉTÉ été", "aé漢" * 3000 + " tail", "one " + "z" * 64 * 3, "z" * 64, "y" * 64 + " " + "w" * 128])
     whole = simhash.fingerprints(texts, 4)
     monkeypatch.setattr(common, "PIECE", 64)
     parts = simhash.fingerprints(texts, 4)
-    keep = [0, 2, 3, 4]  # a word longer than a piece is cut
-    assert all((a[keep] == b[keep]).all() for a, b in zip(whole, parts))
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_split_keys_find_the_same_groups(spark):
+    shared = "this passage stands in every one of them and is long enough to give keys in common"
+    rng = random.Random(8)
+    texts = [f"{shared} {' '.join(word(rng) for _ in range(3))}" for _ in range(80)] + corpus()[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs).collect()}
+    split = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs, most=7).collect()}
+    assert whole == split
+
+
+def test_ids_of_text_and_ties(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six")], "doc_id string, text string")
+    rows = simhash.near_duplicates(docs).collect()
+    assert {r["group_id"] for r in rows} == {"a"} and [r["doc_id"] for r in rows if r["keep"]] == ["a"]
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == ["a"]
+
+
+def test_short_and_edited_copies_are_found(spark):
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for n, edits in [(15, 1), (30, 3), (60, 6), (200, 10)] * 60:
+        base = [word(rng) for _ in range(n)]
+        copy = list(base)
+        for i in rng.sample(range(n), edits):
+            copy[i] = word(rng)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    lo, hi, _, _ = simhash.fingerprints(pa.array(texts), 12)
+    b = bits(lo, hi)
+    near = [(i, j) for i, j in pairs if (b[i] != b[j]).sum() <= 26]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > 100 and sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
 
 
 def test_components(spark):

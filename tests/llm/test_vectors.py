@@ -28,7 +28,7 @@ def test_exact_equals_brute_force(spark, n, k, cell):
     x = rng.normal(size=(n, 6)).round(1)
     x[n // 2 :: 7] = x[0]  # ties
     ids = rng.permutation(10 * n)[:n]
-    got = topk.exact_topk(frame(spark, x, ids), k=k, pivots=4, cell=cell, queries=64)
+    got = topk.exact_topk(frame(spark, x, ids), k=k, pivots=4, cell=cell)
     assert {tuple(r) for r in got.collect()} == brute(x, ids, k, False)
 
 
@@ -62,13 +62,43 @@ def test_recall(spark, n):
     assert len(got & want) >= 0.9 * len(want)
 
 
-def test_split_buckets_and_two_hashes(spark):
+def test_given_probes_and_two_hashes(spark):
     x = np.random.default_rng(6).normal(size=(400, 8))
     x[7] = 0  # no direction
-    one = {tuple(r) for r in ann.neighbours(frame(spark, x), tables=4).collect()}
-    assert one == {tuple(r) for r in ann.neighbours(frame(spark, x), tables=4, most=16).collect()}
-    assert not any(7 in r[:2] for r in one)
-    assert ann.neighbours(frame(spark, x), tables=4, hashes=2).count() > 0
+    every = {tuple(r) for r in ann.neighbours(frame(spark, x), tables=1, hashes=1, probes=16).collect()}
+    keep = np.delete(np.arange(400), 7)
+    assert every == brute(x[keep], keep, 10, True)  # all 16 buckets of a table are all vectors
+    few = {tuple(r) for r in ann.neighbours(frame(spark, x), tables=4, hashes=2, probes=3).collect()}
+    assert few and not any(7 in r[:2] for r in every | few)
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    x = np.tile([[1.0, 0.0], [0.0, 1.0]], (12, 1))
+    assert {tuple(r) for r in ann.neighbours(frame(spark, x), k=5).collect()} == brute(x, np.arange(24), 5, True)
+
+
+def test_close_neighbours_need_less_work_than_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(1500, 1, 64)) + 0.15 * rng.normal(size=(1500, 8, 64))).reshape(-1, 64)  # 12,000 in clusters of 8
+    rows = frame(spark, x)
+    units = spark.createDataFrame([(i, v.astype(np.float32).tobytes()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, unit binary")
+    hashes, probes = ann.plan(units, len(x), 64, 64, 7, 16, 0.93, 256)
+    assert 16 * probes / 128**hashes < 0.2
+    got = {(r["vec_id"], r["neighbor_id"]) for r in ann.neighbours(rows, k=7).collect()}
+    want = {(i, j) for i in range(len(x)) for j in range(i // 8 * 8, i // 8 * 8 + 8) if i != j}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_ranks_of_buckets():
+    x = np.random.default_rng(3).normal(size=(40, 16))
+    for hashes in (1, 2):
+        rank = ann._ranks(x[:20], x[20:], 2, hashes)
+        for i in range(20):
+            places = []
+            for t in range(2):
+                order = ann.buckets(x[i : i + 1], t, hashes, 32**hashes)[0].tolist()
+                places.append(order.index(ann.buckets(x[20 + i : 21 + i], t, hashes, 1)[0, 0]))
+            assert abs(min(places) - rank[i]) <= hashes - 1  # sums of two differ by rounding
 
 
 def test_hadamard_keeps_lengths():

@@ -8,7 +8,7 @@ from quire.llm import warc
 
 def index_of(raw, **k):
     sink = io.BytesIO()
-    return list(warc.rewrite(io.BytesIO(raw), sink, "f", **k)), sink.getvalue()
+    return list(warc.rewrite(lambda: io.BytesIO(raw), sink, "f", **k)), sink.getvalue()
 
 
 RECORDS = [warc.record(1, "http://a/", "<p>x</p>"), warc.record(None, None, None), warc.record(3, "http://b\r\nX: 1", "é" * 700000), warc.record(1, "http://a/", "<p>x</p>")]
@@ -31,6 +31,40 @@ def test_broken_files():
     assert index_of(b"")[0] == [] and index_of(gzip.compress(b""))[0] == []
 
 
+def bodies(raw):
+    rows, out = index_of(raw)
+    return [(r["status"], gzip.decompress(out[r["offset"] : r["offset"] + r["length"]]) if r["length"] else None) for r in rows]
+
+
+def test_records_after_a_bad_one_are_kept():
+    a, b = RECORDS[0], RECORDS[1]
+    ok = [("ok", a), ("ok", b)]
+    for bad in (b"rubbish\r\n\r\n", b"WARC/1.0\r\nContent-Length: x\r\n\r\nbody\r\n\r\n", b"WARC/1.0\r\nX: " + b"y" * (3 << 20) + b"\r\n\r\n", b"WARC/1.0\r\nno end of this header\r\n"):
+        assert bodies(gzip.compress(a + bad + b)) == [("ok", a), ("malformed", None), ("ok", b)], bad[:30]
+    longer = b"WARC/1.0\r\nContent-Length: 2000\r\n\r\nshort\r\n\r\n"  # takes the next ones in
+    got = bodies(gzip.compress(a + longer + b + a + b * 20))
+    assert got[0] == ("ok", a) and got[1][0] == "malformed" and [g for g in got[2:]] == [("ok", x) for x in (b, a, *[b] * 20)]
+    shorter = b"WARC/1.0\r\nContent-Length: 2\r\n\r\nlonger\r\n\r\n"
+    got = bodies(gzip.compress(a + shorter + b))
+    assert [g[0] for g in got] == ["ok", "malformed", "ok"] and (got[0], got[2]) == (ok[0], ok[1])
+
+
+def test_line_feeds_and_missing_ends():
+    a = RECORDS[0]
+    for raw in (a[:-4], a[:-2], a, a + b"\r\n" * 9, a.replace(b"\r\n", b"\n"), a.replace(b"\r\n", b"\n") * 3):
+        got = bodies(gzip.compress(raw))
+        assert got and all(s == "ok" and gzip.decompress(gzip.compress(x)).endswith(b"<p>x</p>\r\n\r\n") for s, x in got)
+    assert len(bodies(gzip.compress(a[:-4] + a[:-4] + a))) == 3
+
+
+def test_a_file_takes_the_place_of_one_before(tmp_path):
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(RECORDS)))
+    for _ in range(2):
+        rows = list(warc.normalize_file(f"file://{tmp_path}/x.warc.gz", f"file://{tmp_path}/out") if (tmp_path / "out").exists() or not (tmp_path / "out").mkdir() else [])
+        assert len(rows) == 4
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["x.warc.gz", "x.warc.gz.idx"]
+
+
 def test_pages(spark, tmp_path):
     data = [(i, f"http://x/{i}", f"<p>{i}</p>" * 50, "f", 9) for i in range(40)] + [(None, None, None, "f", 9), (7, "http://x/7", "<p>7</p>" * 50, "f", 9)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, file string, seq int").repartition(3)
