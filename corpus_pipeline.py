@@ -1,7 +1,8 @@
 """A corpus from documents to tokens: five stages, each on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns these columns; the last one returns
-doc_id, n_tokens, token_ids and round_trip. Null, empty and repeated rows are treated as the operators' docstrings say.
+doc_id, n_tokens, token_ids and round_trip. Null, empty and repeated rows are treated as the operators' docstrings say, and
+columns beside those of documents go along untouched. A stage's table is dropped once the next one is written, with all that stage made.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, langid, mixing, pii, simhash
-from quire.llm.common import materialize, table
+from quire.llm.common import drop_dir, made, materialize, table
 from quire.session import ship
 
 
@@ -50,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with made() as folders:
+            docs, at = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for folder in [*folders, before]:
+            if folder and folder != at:
+                drop_dir(spark, folder)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
