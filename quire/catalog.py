@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import arrow, blocks, census, folds, gates, joins, reports, runs, text, windows
+from quire.operators import arrow, blocks, census, folds, gates, joins, layout_queries, reports, runs, text, windows
+from quire.oracles import layout as layout_oracles
 from quire.plans.dialect import Duck, Spark
 from quire.plans.views import prefix
 
@@ -34,7 +35,10 @@ def _collect() -> dict[str, tuple[Query, str | None]]:
     for module in (text, census, windows, joins, blocks, gates, reports, runs):
         for name, (views, make) in module.OPERATORS.items():
             found[name] = _planned(make, views)
-    return found | arrow.QUERIES | folds.QUERIES
+    found |= arrow.QUERIES | folds.QUERIES
+    for queries, oracles in ((layout_queries.QUERIES, layout_oracles.ORACLES),):
+        found |= {name: (query, oracles.get(name)) for name, query in queries.items()}
+    return found
 
 
 QUERIES = _collect()

@@ -9,13 +9,11 @@ def islands(test: str, order: str = "line") -> str:
 
 
 OPERATORS = {
-    "verse_suspects": (["lines"], lambda d: f"{islands('x1 - x0 < 240')} SELECT doc_id, page, min(line) AS first_line, count(*) AS n, count(DISTINCT x0) AS levels FROM r GROUP BY doc_id, page, run HAVING count(*) >= 3 AND (count(DISTINCT x0) >= 2 OR count(*) >= 4) AND max(x1) - min(x1) >= 6"),
     "quote_runs": (["lines"], lambda d: f"{islands('x0 >= 78')} SELECT doc_id, page, min(line) AS first_line, max(line) AS last_line, count(*) AS n FROM r GROUP BY doc_id, page, run HAVING count(*) >= 3"),
     "list_items": (["paras"], lambda d: f"t AS (SELECT doc_id, para, CASE WHEN para % 5 < 3 THEN CAST(para % 5 + 1 AS VARCHAR(9)) || '. ' || text ELSE text END AS text FROM paras), m AS (SELECT doc_id, para, text, {d.has('text', r'^[0-9]{1,3}[.)] ')} AS entry FROM t), i AS (SELECT doc_id, para, text, entry, count(CASE WHEN entry THEN 1 END) OVER (PARTITION BY doc_id ORDER BY para) AS item FROM m) SELECT doc_id, CAST(item AS BIGINT) AS item, min(para) AS first_para, count(*) AS n_paras, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM i WHERE item > 0 GROUP BY doc_id, item"),
     "list_numbering": (["paras"], lambda d: f"t AS (SELECT doc_id, para, {d.first('text', '^(.)')} AS c, para % 7 + 1 AS num FROM paras), l AS (SELECT doc_id, para, num, lag(num) OVER (PARTITION BY doc_id ORDER BY para) AS before FROM t) SELECT doc_id, para, num, before FROM l WHERE num <= before"),
     "list_groups": (["paras"], lambda d: "k AS (SELECT doc_id, para, CASE WHEN para % 9 < 3 THEN 'ol' WHEN para % 9 < 5 THEN 'ul' ELSE 'p' END AS kind FROM paras), f AS (SELECT doc_id, para, kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY para) THEN 0 ELSE 1 END AS fresh FROM k), g AS (SELECT doc_id, para, kind, sum(fresh) OVER (PARTITION BY doc_id ORDER BY para) AS grp FROM f) SELECT doc_id, CAST(grp AS BIGINT) AS grp, min(kind) AS kind, count(*) AS n, min(para) AS first_para FROM g WHERE kind <> 'p' GROUP BY doc_id, grp"),
     "dropcaps": (["lines"], lambda d: f"c AS (SELECT doc_id, line, CASE WHEN line % 9 = 0 THEN 'T' ELSE text END AS text, CASE WHEN line % 9 = 0 THEN 30.0 ELSE size END AS size FROM lines), n AS (SELECT doc_id, line, text, size, lead(text) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM c) SELECT doc_id, line, text || coalesce(nxt, '') AS glued FROM n WHERE size >= 22 AND length(trim(text)) <= 2 AND {d.has('trim(text)', '^[A-Za-zÀ-ſ]+$')}"),
-    "dropcap_wrap_veto": (["lines"], lambda d: "c AS (SELECT doc_id, page, line, y0, y0 + 40 AS y1, x0 + 18 AS edge FROM lines WHERE idx % 10 = 0) SELECT l.doc_id, l.page, l.line FROM lines l JOIN c ON l.doc_id = c.doc_id AND l.page = c.page AND l.line > c.line AND l.y0 < c.y1 AND l.y0 + 12 > c.y0 AND abs(l.x0 - c.edge) <= 6"),
     "figure_captions": (["lines"], lambda d: "f AS (SELECT doc_id, page, min(y0) + 80 AS bottom FROM lines WHERE page % 2 = 1 GROUP BY doc_id, page), c AS (SELECT l.doc_id, l.page, l.line, l.text, row_number() OVER (PARTITION BY l.doc_id, l.page ORDER BY l.y0) AS k FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.page = f.page AND l.y0 BETWEEN f.bottom AND f.bottom + 40.5) SELECT doc_id, page, line, text FROM c WHERE k <= 2"),
     "figure_width": (["lines"], lambda d: f"w AS (SELECT doc_id, page, max(x1) - min(x0) AS w FROM lines GROUP BY doc_id, page) SELECT doc_id, page, least(100, greatest(20, {d.rint('w * 100 / 360')})) AS pct FROM w"),
     "note_region": (["lines"], lambda d: "s AS (SELECT doc_id, page, line, text, CASE WHEN size < 10 THEN 1 ELSE 0 END AS small FROM lines), t AS (SELECT doc_id, page, line, text, min(small) OVER (PARTITION BY doc_id, page ORDER BY line DESC) AS still FROM s) SELECT doc_id, page, min(line) AS first_line, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM t WHERE still = 1 GROUP BY doc_id, page HAVING sum(length(text)) > 20"),

@@ -20,37 +20,19 @@ SELECT source, template, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(pa
 
 
 OPERATORS = {
-    "furniture_templates": (["lines"], furniture),
     "repeated_lines": (["paras"], lambda d: f"t AS (SELECT source, {template(d, 'text')} AS template FROM paras WHERE length(text) <= 60) SELECT source, template, count(*) AS n FROM t WHERE template NOT IN ('', '#') GROUP BY source, template HAVING count(*) >= 3"),
-    "column_geometry": (["lines"], lambda d: f"""w AS (SELECT doc_id, max(x1 - x0) AS widest FROM lines GROUP BY doc_id),
-f AS (SELECT l.*, {d.rint("x0")} AS rx0, {d.rint("x1")} AS rx1 FROM lines l JOIN w ON l.doc_id = w.doc_id WHERE x1 - x0 >= 0.55 * widest),
-a AS ({mode("doc_id", "rx0", "f")}), b AS ({mode("doc_id", "rx1", "f")}), s AS ({mode("doc_id", "size", "lines", "length(text)")})
-SELECT a.doc_id, a.value AS x0, b.value AS x1, s.value AS body_size, a.n AS support FROM a JOIN b ON a.doc_id = b.doc_id JOIN s ON a.doc_id = s.doc_id"""),
-    "page_shift": (["lines"], lambda d: f"""f AS (SELECT doc_id, page, line, {d.rint("x0 + CASE WHEN page % 2 = 0 THEN 12 ELSE 0 END")} AS rx0 FROM lines),
-p AS ({mode("doc_id, page", "rx0", "f")}), g AS ({mode("doc_id", "rx0", "f")})
-SELECT p.doc_id, p.page, CAST(p.value - g.value AS BIGINT) AS shift, p.n AS support FROM p JOIN g ON p.doc_id = g.doc_id WHERE p.n >= 3 AND abs(p.value - g.value) >= 6"""),
-    "style_clusters": (["lines"], lambda d: f"""b AS ({mode("doc_id", "size", "lines", "length(text)")}),
-c AS (SELECT doc_id, size, italic, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT page) AS n_pages, min(page) AS first_page FROM lines GROUP BY doc_id, size, italic)
-SELECT c.doc_id, c.size, c.italic, n_lines, n_chars, n_pages, first_page, CASE WHEN size >= 1.6 * value THEN 'title' WHEN size >= 1.2 * value THEN 'heading' WHEN size <= 0.87 * value THEN 'note' ELSE 'body' END AS role FROM c JOIN b ON c.doc_id = b.doc_id"""),
-    "style_samples": (["lines"], lambda d: "s AS (SELECT doc_id, size, line, text, row_number() OVER (PARTITION BY doc_id, size ORDER BY line) AS k FROM lines WHERE length(text) BETWEEN 16 AND 89) SELECT doc_id, size, CAST(k AS BIGINT) AS k, text FROM s WHERE k <= 3"),
-    "top_band": (["lines"], lambda d: f"""f AS (SELECT doc_id, page, min(y0) AS y FROM lines WHERE (doc_id + page) % 3 > 0 GROUP BY doc_id, page),
-r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY doc_id ORDER BY y, page) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM f)
-SELECT doc_id, y + 4 AS top_band, n AS n_pages FROM r WHERE k = {d.div("n * 8", "10")} + 1"""),
     "leading_stats": (["lines"], lambda d: f"""g AS (SELECT doc_id, y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY line) AS gap FROM lines),
 r AS (SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY gap) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM g WHERE gap > 5 AND gap < 40)
 SELECT doc_id, gap AS leading, n FROM r WHERE k = {d.div("n", "2")} + 1"""),
     "indent_histogram": (["lines"], lambda d: f"h AS (SELECT doc_id, {d.rint('x0 - 72')} AS indent FROM lines) SELECT doc_id, indent, count(*) AS n FROM h GROUP BY doc_id, indent"),
     "pua_census": (["damaged"], lambda d: f"e AS (SELECT doc_id, para, x AS ch FROM (SELECT doc_id, para, {d.rows(d.every('text', '[-]'))} FROM damaged)) SELECT doc_id, ch, count(*) AS n, min(para) AS first_para FROM e GROUP BY doc_id, ch"),
     "script_census": (["damaged"], lambda d: f"t AS (SELECT doc_id, lang, CASE para % 6 WHEN 0 THEN text || ' 漢字' WHEN 1 THEN text || ' שלום' ELSE text END AS text FROM damaged), s AS (SELECT doc_id, lang, {d.count('text', '[　-鿿豈-﫿]')} AS cjk, {d.count('text', '[֐-ࣿ]')} AS rtl FROM t) SELECT doc_id, lang, CAST(sum(cjk) AS BIGINT) AS n_cjk, CAST(sum(rtl) AS BIGINT) AS n_rtl, CAST(sum(CASE WHEN rtl > 0 AND lang <> 'fr' THEN rtl ELSE 0 END) AS BIGINT) AS rtl_unexpected FROM s GROUP BY doc_id, lang"),
-    "column_suspects": (["lines"], lambda d: "l AS (SELECT doc_id, page, CASE WHEN line % 2 = 0 THEN x0 ELSE x0 + 250 END AS x0, CASE WHEN line % 2 = 0 THEN least(x1, 290) ELSE x1 + 250 END AS x1 FROM lines) SELECT doc_id, page, count(CASE WHEN x0 < 200 THEN 1 END) AS n_left, count(CASE WHEN x0 >= 200 THEN 1 END) AS n_right FROM l GROUP BY doc_id, page HAVING count(CASE WHEN x0 < 200 THEN 1 END) >= 6 AND count(CASE WHEN x0 >= 200 THEN 1 END) >= 6 AND min(CASE WHEN x0 >= 200 THEN x0 END) - max(CASE WHEN x0 < 200 THEN x1 END) > 30"),
     "codepoint_buckets": (["paras"], lambda d: f"e AS (SELECT lang, para % 5 = 0 AS italic, x AS ch FROM (SELECT lang, para, {d.rows(d.every('text', '[^ -~]'))} FROM paras)) SELECT lang, italic, ch, count(*) AS n FROM e GROUP BY lang, italic, ch"),
     "dominant_font": (["lines"], lambda d: f"r AS (SELECT doc_id, page, line, 'f' || CAST(line % 4 AS VARCHAR(9)) AS font, length(text) AS n_chars FROM lines), m AS ({mode('doc_id, page', 'font', 'r', 'n_chars')}) SELECT doc_id, page, value AS font, n AS n_chars FROM m"),
     "letter_census": (["lines"], lambda d: f"c AS (SELECT doc_id, page, italic, size, {d.count('text', chr(92) + 'p{L}')} AS letters FROM lines) SELECT doc_id, page, CAST(sum(letters) AS BIGINT) AS letters, CAST(sum(CASE WHEN italic THEN letters ELSE 0 END) AS BIGINT) AS italic_letters, CAST(sum(CASE WHEN size > 12 THEN letters ELSE 0 END) AS BIGINT) AS bold_letters FROM c GROUP BY doc_id, page"),
-    "left_stops": (["lines"], lambda d: f"w AS (SELECT doc_id, max(x1) AS edge FROM lines GROUP BY doc_id), s AS (SELECT l.doc_id, {d.rint('x0')} AS stop FROM lines l JOIN w ON l.doc_id = w.doc_id WHERE x1 >= edge - 60), g AS (SELECT doc_id, stop, count(*) AS n FROM s GROUP BY doc_id, stop HAVING count(*) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, stop) AS rank FROM g) SELECT doc_id, stop, n FROM k WHERE rank <= 8"),
     "emphasis_conservation": (["lines"], lambda d: f"""a AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS letters, CAST(sum(CASE WHEN italic THEN length(text) ELSE 0 END) AS BIGINT) AS it FROM lines GROUP BY doc_id, page),
 b AS (SELECT doc_id, page, CAST(sum(CASE WHEN italic AND line % 7 > 1 THEN length(text) ELSE 0 END) AS BIGINT) AS it FROM lines WHERE page % 11 > 0 GROUP BY doc_id, page)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, a.it AS expected, coalesce(b.it, 0) AS shipped FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.letters > 40 AND abs(a.it - coalesce(b.it, 0)) > 40 AND 100 * abs(a.it - coalesce(b.it, 0)) > 15 * a.letters"""),
-    "folio_agreement": (["lines"], lambda d: "p AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 = 0 THEN page + 1 ELSE page END AS printed FROM lines WHERE idx = 0), a AS (SELECT doc_id, count(*) AS n, count(CASE WHEN printed = page THEN 1 END) AS agree FROM p GROUP BY doc_id) SELECT doc_id, n, agree, CASE WHEN 100 * agree >= 90 * n THEN 'labels' WHEN 100 * agree >= 50 * n THEN 'folios' ELSE 'physical' END AS label_source FROM a"),
     "timing_percentiles": (["lines"], lambda d: f"t AS (SELECT source, page, (line * 37 % 1000) AS ms FROM lines WHERE idx = 3), r AS (SELECT source, ms, row_number() OVER (PARTITION BY source ORDER BY ms, page) AS k, count(*) OVER (PARTITION BY source) AS n FROM t) SELECT source, max(n) AS n, max(CASE WHEN k = {d.div('n', '2')} + 1 THEN ms END) AS median_ms, max(CASE WHEN k = least(n, {d.div('n * 95', '100')} + 1) THEN ms END) AS p95_ms, max(ms) AS max_ms FROM r GROUP BY source"),
     "first_evidence": (["lines"], lambda d: "e AS (SELECT doc_id, page, CASE WHEN size > 12 THEN 'heading' WHEN size < 10 THEN 'note' WHEN italic THEN 'italic' ELSE 'body' END AS phenomenon FROM lines) SELECT doc_id, phenomenon, min(page) AS first_page, count(DISTINCT page) AS n_pages FROM e GROUP BY doc_id, phenomenon"),
     "scaling_line": (["lines"], lambda d: "s AS (SELECT source, count(DISTINCT doc_id * 100000 + page) AS pages, count(CASE WHEN size > 12 THEN 1 END) AS overrides FROM lines GROUP BY source) SELECT source, pages, overrides, " + d.div("100 * overrides", "pages") + " AS per_100_pages FROM s"),

@@ -14,7 +14,6 @@ g AS (SELECT doc_id, 'pua residue' AS gate, pua = 0 AS ok, pua AS n FROM c UNION
 OPERATORS = {
     "gate_rows": (["damaged"], lambda d: f"{gates(d)} SELECT doc_id, gate, CASE WHEN ok IS NULL THEN 'info' WHEN ok THEN 'pass' ELSE 'fail' END AS verdict, n FROM g"),
     "gate_summary": (["damaged"], lambda d: f"{gates(d)} SELECT doc_id, count(*) AS n_gates, count(CASE WHEN NOT ok THEN 1 END) AS failed, count(CASE WHEN ok IS NULL THEN 1 END) AS advisory, bool_and(ok) AS passed FROM g GROUP BY doc_id"),
-    "image_only_pages": (["lines"], lambda d: "p AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS n_chars, page % 2 AS n_images FROM lines GROUP BY doc_id, page) SELECT doc_id, page, n_chars FROM p WHERE n_chars < 120 AND n_images >= 1"),
     "in_flow_pages": (["lines"], lambda d: "x AS (SELECT 1 AS page UNION ALL SELECT 4) SELECT DISTINCT l.doc_id, l.page FROM lines l LEFT JOIN x ON l.page = x.page WHERE x.page IS NULL"),
     "trim_clip": (["lines"], lambda d: "c AS (SELECT doc_id, line, (x0 + x1) / 2 AS xc, y0 + 6 AS yc FROM lines) SELECT doc_id, line, xc BETWEEN 24 AND 250 AND yc BETWEEN 24 AND 560 AS inside FROM c"),
     "crop_box_vote": (["lines"], lambda d: "b AS (SELECT doc_id, page, CASE WHEN page % 5 = 0 THEN '0 0 431 648' ELSE '24 24 455 672' END AS box FROM lines WHERE idx = 0), v AS (SELECT doc_id, box, count(*) AS n, min(page) AS seen FROM b GROUP BY doc_id, box), k AS (SELECT doc_id, box, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS k FROM v) SELECT doc_id, box, n FROM k WHERE k = 1"),
@@ -27,7 +26,6 @@ OPERATORS = {
     "nav_numeric_bloat": (["lines"], lambda d: f"n AS (SELECT doc_id, CASE WHEN line % 3 = 0 THEN CAST(line AS VARCHAR(20)) || '.' ELSE text END AS title FROM lines) SELECT doc_id, count(CASE WHEN {d.has('title', '^[0-9]+[.]?[*]*$')} THEN 1 END) AS numeric_titles, count(*) AS n FROM n GROUP BY doc_id HAVING count(CASE WHEN {d.has('title', '^[0-9]+[.]?[*]*$')} THEN 1 END) >= 10"),
     "page_list_order": (["lines"], lambda d: f"p AS (SELECT doc_id, page, CASE WHEN page <= 2 THEN 'roman' ELSE 'arabic' END AS kind, CASE WHEN page % 6 = 0 THEN page - 2 ELSE page END AS val FROM lines WHERE idx = 0), l AS (SELECT doc_id, page, kind, val, lag(kind) OVER (PARTITION BY doc_id ORDER BY page) AS pk, lag(val) OVER (PARTITION BY doc_id ORDER BY page) AS pv FROM p) SELECT doc_id, page, CASE WHEN pk = 'arabic' AND kind = 'roman' THEN 'roman after arabic' WHEN pk = kind AND val <= pv THEN 'not increasing' ELSE 'ok' END AS finding FROM l"),
     "citation_index": (["paras"], lambda d: f"s AS (SELECT 1 AS sura, 7 AS verses UNION ALL SELECT 2, 286 UNION ALL SELECT 3, 200 UNION ALL SELECT 4, 176), t AS (SELECT doc_id, para, CAST(para % 5 + 1 AS VARCHAR(9)) || ':' || CAST(para * 3 % 300 AS VARCHAR(9)) AS cite FROM paras), c AS (SELECT doc_id, para, CAST({d.first('cite', '^([0-9]+):')} AS BIGINT) AS sura, CAST({d.first('cite', ':([0-9]+)$')} AS BIGINT) AS verse FROM t), o AS (SELECT doc_id, para, sura, verse, lag(sura * 1000 + verse) OVER (PARTITION BY doc_id ORDER BY para) AS before FROM c) SELECT o.doc_id, o.para, o.sura, o.verse, CASE WHEN s.sura IS NULL THEN 'no such sura' WHEN o.verse < 1 OR o.verse > s.verses THEN 'no such verse' WHEN o.before > o.sura * 1000 + o.verse THEN 'out of order' ELSE 'ok' END AS finding FROM o LEFT JOIN s ON o.sura = s.sura"),
-    "orphan_headings": (["lines"], lambda d: "f AS (SELECT doc_id, page, count(CASE WHEN size > 12 THEN 1 END) AS headings, count(CASE WHEN size <= 12 THEN 1 END) AS bodies FROM lines GROUP BY doc_id, page) SELECT doc_id, page, headings FROM f WHERE headings > 0 AND bodies <= headings"),
     "heading_census": (["lines"], lambda d: f"h AS (SELECT doc_id, line, text FROM lines WHERE size > 12) SELECT doc_id, line, CASE WHEN {d.has('text', '[.!?]$')} THEN 'sentence-like' WHEN {d.has('text', '^(Part|Chapter)[A-Z0-9]')} THEN 'fused label' ELSE 'ok' END AS finding FROM h"),
     "size_fidelity": (["lines"], lambda d: "s AS (SELECT doc_id, size, count(*) AS n FROM lines GROUP BY doc_id, size), e AS (SELECT doc_id, size, n, CAST(size * 1000 / 11 AS BIGINT) AS em, CAST(size * 1000 / 11 AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 100 ELSE 0 END AS shipped FROM s) SELECT doc_id, size, em, shipped, abs(em - shipped) <= 60 AS ok FROM e" if d.name == "duckdb" else "s AS (SELECT doc_id, size, count(*) AS n FROM lines GROUP BY doc_id, size), e AS (SELECT doc_id, size, n, CAST(rint(size * 1000 / 11) AS BIGINT) AS em, CAST(rint(size * 1000 / 11) AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 100 ELSE 0 END AS shipped FROM s) SELECT doc_id, size, em, shipped, abs(em - shipped) <= 60 AS ok FROM e"),
     "stratified_sample": (["lines"], lambda d: f"p AS (SELECT DISTINCT doc_id, page FROM lines), r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY {d.hash("'7:' || CAST(page AS VARCHAR(20))")}) AS k FROM p), f AS (SELECT doc_id, CASE WHEN size > 12 THEN 'heading' WHEN size < 10 THEN 'note' ELSE 'body' END AS why, min(page) AS page FROM lines GROUP BY doc_id, CASE WHEN size > 12 THEN 'heading' WHEN size < 10 THEN 'note' ELSE 'body' END) SELECT doc_id, page, 'random' AS why FROM r WHERE k <= 3 UNION SELECT doc_id, page, why FROM f"),

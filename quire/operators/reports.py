@@ -12,7 +12,6 @@ PUA = "[-]"
 OPERATORS = {
     "headings_timeline": (["lines"], lambda d: "h AS (SELECT doc_id, page, line, size, text FROM lines WHERE size > 12) SELECT doc_id, page, line, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS k FROM h"),
     "unmapped_pua": (["damaged"], lambda d: f"m AS (SELECT '' AS ch UNION ALL SELECT ''), e AS (SELECT doc_id, x AS ch FROM (SELECT doc_id, {d.rows(d.every('text', PUA))} FROM damaged)) SELECT e.doc_id, e.ch, count(*) AS n FROM e LEFT JOIN m ON e.ch = m.ch WHERE m.ch IS NULL GROUP BY e.doc_id, e.ch"),
-    "paragraph_geometry": (["lines"], lambda d: f"SELECT_ AS (SELECT doc_id, para, CAST(sum(size * length(text)) AS BIGINT) AS weighted, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN italic THEN length(text) ELSE 0 END) AS BIGINT) AS emphasis, min(line) AS first_line, max(line) AS last_line FROM lines GROUP BY doc_id, para) SELECT doc_id, para, {d.div('10 * weighted', 'n_chars')} AS size_10, n_chars, emphasis, first_line, last_line FROM SELECT_"),
     "page_checks": (["lines"], lambda d: "c AS (SELECT doc_id, page, count(*) AS n_lines, count(CASE WHEN size > 12 THEN 1 END) AS headings, count(CASE WHEN size < 10 THEN 1 END) AS notes, count(CASE WHEN italic THEN 1 END) AS italics FROM lines GROUP BY doc_id, page) SELECT * FROM c WHERE headings + notes + italics > 0"),
     "verify_hashes": (["paras"], lambda d: f"a AS (SELECT doc_id, para, {d.hash('text')} AS sha FROM paras WHERE para % 10 <> 9), b AS (SELECT doc_id, para, CASE WHEN para % 8 = 3 THEN {d.hash("text || '!'")} ELSE {d.hash('text')} END AS sha FROM paras WHERE para % 7 <> 6) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.para, b.para) AS para, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'unrecorded' ELSE 'changed' END AS finding FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.para = b.para WHERE a.sha IS NULL OR b.sha IS NULL OR a.sha <> b.sha"),
     "warnings_table": (["damaged"], lambda d: f"c AS (SELECT doc_id, para, {d.count('text', PUA)} AS pua, {d.count('text', '�')} AS lost, {d.count('text', '[֐-ࣿ]')} AS rtl, length(text) AS n FROM damaged), w AS (SELECT doc_id, para, 'pua-unmapped' AS code, 'content-risk' AS severity, pua AS n FROM c WHERE pua > 0 UNION ALL SELECT doc_id, para, 'fffd-unrepaired', 'content-risk', lost FROM c WHERE lost > 0 UNION ALL SELECT doc_id, para, 'list-marker-gap', 'advisory', CAST(n AS BIGINT) FROM c WHERE n < 20) SELECT * FROM w"),

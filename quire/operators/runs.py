@@ -4,11 +4,9 @@ from __future__ import annotations
 
 OPERATORS = {
     "toc_lines": (["lines"], lambda d: f"t AS (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN text || ' ..... ' || CAST(page AS VARCHAR(20)) WHEN 1 THEN text || '   ' || 'xii' WHEN 2 THEN text || ' ' || CAST(page AS VARCHAR(20)) ELSE text END AS text FROM lines WHERE idx < 8), p AS (SELECT doc_id, line, {d.first('text', '^(.*[^ .])(?:[ ]*[.]{3,}[ ]*|[ ]{2,})([0-9]{1,4}|[ivxlcdm]+)$', 1)} AS title, {d.first('text', '^(.*[^ .])(?:[ ]*[.]{3,}[ ]*|[ ]{2,})([0-9]{1,4}|[ivxlcdm]+)$', 2)} AS folio FROM t) SELECT doc_id, line, title, folio FROM p WHERE folio <> ''"),
-    "printed_folio": (["lines"], lambda d: f"h AS (SELECT doc_id, page, y0, CASE page % 4 WHEN 0 THEN CAST(page AS VARCHAR(20)) WHEN 1 THEN CAST(page AS VARCHAR(20)) || source WHEN 2 THEN 'Others' || CAST(page AS VARCHAR(20)) ELSE text END AS t FROM lines WHERE idx = 0), f AS (SELECT doc_id, page, {d.first('t', '^([0-9]{1,3})([^0-9].*)?$')} AS lead_, {d.first('t', '[^0-9]([0-9]{1,3})$')} AS trail FROM h WHERE y0 <= 150) SELECT doc_id, page, CASE WHEN lead_ <> '' THEN lead_ ELSE trail END AS folio FROM f WHERE lead_ <> '' OR trail <> ''"),
     "merged_runs": (["paras"], lambda d: f"w AS (SELECT doc_id, para, CAST(i AS BIGINT) AS i, x AS word, i % 7 IN (3, 4) AS italic FROM (SELECT doc_id, para, {d.rows(d.words('text'))} FROM paras)), f AS (SELECT doc_id, para, i, word, italic, CASE WHEN italic = lag(italic) OVER (PARTITION BY doc_id, para ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM w), g AS (SELECT doc_id, para, i, word, italic, sum(fresh) OVER (PARTITION BY doc_id, para ORDER BY i) AS run FROM f) SELECT doc_id, para, CAST(run AS BIGINT) AS run, bool_and(italic) AS italic, {d.joined('word', ' ', 'i')} AS text FROM g GROUP BY doc_id, para, run"),
     "cross_run_spaces": (["lines"], lambda d: f"r AS (SELECT doc_id, para, j, text || ' ' AS a, lead(' ' || text) OVER (PARTITION BY doc_id, para ORDER BY j) AS b FROM lines) SELECT doc_id, para, j, {d.sub('a', '[ ]+$', ' ')} AS head, {d.sub('b', '^[ ]+')} AS tail FROM r WHERE a LIKE '% ' AND b LIKE ' %'"),
     "style_roots": (["lines"], lambda d: f"s AS (SELECT DISTINCT source || CASE WHEN italic THEN '-Italic' ELSE '-Roman' END || ' ' || CAST(CAST(size AS BIGINT) AS VARCHAR(9)) AS style FROM lines) SELECT style, trim({d.sub(d.sub('style', '(?i)[- ]?(italic|roman|regular)'), '[ ]+', ' ')}) AS root FROM s"),
-    "render_queue": (["lines"], lambda d: "q AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM (SELECT DISTINCT doc_id, page FROM lines WHERE size > 12)), r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM (SELECT DISTINCT doc_id, page FROM lines WHERE italic)), u AS (SELECT doc_id, page FROM q WHERE k <= 8 UNION SELECT doc_id, page FROM r WHERE k <= 5) SELECT doc_id, page FROM u WHERE page BETWEEN 1 AND 400"),
     "complexity_sample": (["lines"], lambda d: "p AS (SELECT doc_id, page, count(DISTINCT size) AS sizes, count(*) AS n FROM lines GROUP BY doc_id, page), k AS (SELECT doc_id, page, sizes, row_number() OVER (PARTITION BY doc_id ORDER BY sizes DESC, page) AS most, row_number() OVER (PARTITION BY doc_id ORDER BY n, page) AS fewest FROM p) SELECT doc_id, page, CASE WHEN most = 1 THEN 'most styles' WHEN fewest = 1 THEN 'fewest lines' ELSE 'stride' END AS why FROM k WHERE most = 1 OR fewest = 1 OR page % 10 = 0"),
     "build_metrics": (["damaged"], lambda d: f"c AS (SELECT doc_id, CAST(sum({d.count('text', '[ﬀ-ﬆ]')}) AS BIGINT) AS a, CAST(sum({d.count('text', '�')}) AS BIGINT) AS b FROM damaged GROUP BY doc_id), u AS (SELECT doc_id, 'ligatures' AS k, a AS v FROM c UNION ALL SELECT doc_id, 'lost', b FROM c), s AS (SELECT doc_id, k, '\"' || k || '\":' || CAST(v AS VARCHAR(20)) AS kv FROM u) SELECT doc_id, '{{' || {d.joined('kv', ',', 'k')} || '}}' AS metrics FROM s GROUP BY doc_id"),
     "reading_packets": (["paras"], lambda d: f"b AS (SELECT doc_id, para, text, CAST(sum({d.size(d.words('text'))}) OVER (PARTITION BY doc_id ORDER BY para) AS BIGINT) AS upto FROM paras), p AS (SELECT doc_id, para, text, {d.div('upto - 1', '350')} AS packet FROM b) SELECT doc_id, packet, count(*) AS n, {d.joined('text', ' ', 'para')} AS text FROM p GROUP BY doc_id, packet"),

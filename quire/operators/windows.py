@@ -24,8 +24,6 @@ OPERATORS = {
 e AS (SELECT doc_id, max(x1) AS edge FROM lines GROUP BY doc_id),
 b AS (SELECT p.doc_id, line, CASE WHEN px0 IS NULL THEN 'first' WHEN size <> psize THEN 'style' WHEN page <> ppage THEN CASE WHEN px1 < edge - 40 THEN 'page-short' WHEN x0 > 80 THEN 'page-indent' ELSE 'join' END WHEN x0 > 80 AND px0 < 80 THEN 'indent' WHEN px1 < edge - 40 AND x0 <= px0 THEN 'short' WHEN y0 - py0 > 21.6 THEN 'gap' ELSE 'join' END AS rule FROM p JOIN e ON p.doc_id = e.doc_id)
 SELECT doc_id, line, rule, CAST(sum(CASE WHEN rule = 'join' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS paragraph FROM b"""),
-    "line_style_key": (["lines"], lambda d: "l AS (SELECT doc_id, page, line, size, italic, x0, x1, lag(x0) OVER (PARTITION BY doc_id, page ORDER BY line) AS px0 FROM lines) SELECT doc_id, line, CAST(CAST(size AS BIGINT) AS VARCHAR(9)) || CASE WHEN italic THEN 'i' ELSE 'r' END || CASE WHEN x0 > 80 AND (px0 IS NULL OR px0 < x0) THEN '>' ELSE '' END AS style FROM l"),
-    "page_anchors": (["lines"], lambda d: f"r AS (SELECT doc_id, page, {d.rint('x0')} AS a, {d.rint('x1')} AS b FROM lines), c AS (SELECT doc_id, page, a, b, count(*) OVER (PARTITION BY doc_id, page, a) AS na, count(*) OVER (PARTITION BY doc_id, page, {d.div('b', '4')}) AS nb FROM r) SELECT doc_id, page, min(CASE WHEN na >= 2 THEN a END) AS x0, max(CASE WHEN nb >= 2 THEN b END) AS x1 FROM c GROUP BY doc_id, page HAVING max(CASE WHEN nb >= 2 THEN b END) - min(CASE WHEN na >= 2 THEN a END) >= 100"),
     "page_label_fill": (["lines"], lambda d: """p AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 = 1 THEN page + 10 END AS printed FROM lines WHERE idx = 0),
 f AS (SELECT doc_id, page, printed, max(CASE WHEN printed IS NOT NULL THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS from_page, min(CASE WHEN printed IS NOT NULL THEN page END) OVER (PARTITION BY doc_id ORDER BY page DESC) AS to_page FROM p)
 SELECT f.doc_id, f.page, CASE WHEN from_page IS NOT NULL THEN from_page + 10 + f.page - from_page WHEN to_page IS NOT NULL THEN to_page + 10 - (to_page - f.page) ELSE 0 END AS label, CASE WHEN printed IS NOT NULL THEN 'printed' WHEN from_page IS NOT NULL THEN 'continued' WHEN to_page IS NOT NULL THEN 'backfilled' ELSE 'none' END AS how FROM f"""),
@@ -42,6 +40,5 @@ i AS (SELECT doc_id, pos, {d.div("pos", "6")} - row_number() OVER (PARTITION BY
 SELECT doc_id, CAST(min(pos) AS BIGINT) AS gutter_from, CAST(max(pos) AS BIGINT) AS gutter_to FROM i GROUP BY doc_id, island"""),
     "reading_order": (["lines"], lambda d: "l AS (SELECT doc_id, page, line, idx, CASE WHEN idx % 10 = 9 THEN 1 ELSE 0 END AS span, CASE WHEN idx % 10 = 9 THEN 0 ELSE idx % 2 END AS col FROM lines), b AS (SELECT doc_id, page, line, idx, span, col, sum(span) OVER (PARTITION BY doc_id, page ORDER BY idx) * 2 - span AS band FROM l) SELECT doc_id, page, line, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY band, col, idx) AS BIGINT) AS position FROM b"),
     "right_margins": (["lines"], lambda d: f"r AS (SELECT doc_id, page, line, {d.rint('x0')} AS a, {d.rint('x1')} AS b, CASE WHEN {d.rint('x0')} = lag({d.rint('x0')}) OVER (PARTITION BY doc_id, page ORDER BY line) THEN 0 ELSE 1 END AS fresh FROM lines), g AS (SELECT doc_id, page, a, b, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line) AS run FROM r) SELECT doc_id, page, CAST(run AS BIGINT) AS run, min(a) AS x0, max(b) AS right_edge, count(*) AS n FROM g GROUP BY doc_id, page, run HAVING count(*) >= 2"),
-    "furniture_strip": (["lines"], lambda d: f"l AS (SELECT doc_id, page, idx, CASE WHEN idx < 1 + page % 3 THEN source ELSE text END AS text, source FROM lines), s AS (SELECT doc_id, page, idx, text, min(CASE WHEN text = source THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY idx) AS still FROM l) SELECT doc_id, page, count(*) AS kept, {d.joined('text', ' ', 'idx')} AS text FROM s WHERE still = 0 GROUP BY doc_id, page"),
     "noteref_seams": (["paras"], lambda d: f"w AS (SELECT doc_id, para, CAST(i AS BIGINT) AS i, x AS word FROM (SELECT doc_id, para, {d.rows(d.words('text'))} FROM paras)), n AS (SELECT doc_id, para, i, word, i % 13 = 5 AS is_ref, lead(word) OVER (PARTITION BY doc_id, para ORDER BY i) AS nxt FROM w) SELECT doc_id, para, i, nxt FROM n WHERE is_ref AND {d.has('nxt', '^[A-Za-z0-9]')} AND (i + para) % 3 = 0"),
 }

@@ -1,4 +1,4 @@
-"""The few spellings in which Spark's SQL and DuckDB's differ, so that one text of an operator serves as plan and as oracle."""
+"""The few spellings in which Spark's SQL and DuckDB's differ, so that one text of a fixture, or of a short operator, serves both."""
 
 from __future__ import annotations
 
@@ -51,6 +51,10 @@ class Spark:
     def part(self, array: str, start: str, n: int) -> str:
         return f"array_join(slice({array}, CAST({start} AS INT), {n}), ' ')"
 
+    def at(self, array: str, k: str) -> str:
+        """The k-th element from 1, null if there is none."""
+        return f"try_element_at({array}, CAST({k} AS INT))" if k != "x * 10" else f"try_element_at({array}, greatest(1, CAST({k} AS INT)))"
+
     def paragraphs(self) -> str:
         return "split(text, '\\n')"
 
@@ -100,6 +104,9 @@ class Duck(Spark):
     def part(self, array: str, start: str, n: int) -> str:
         return f"array_to_string({array}[{start} : {start} + {n - 1}], ' ')"
 
+    def at(self, array: str, k: str) -> str:
+        return f"{array}[{k}]"
+
     def paragraphs(self) -> str:
         return "string_split(text, chr(10))"
 

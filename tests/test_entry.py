@@ -19,7 +19,7 @@ assert not any(m.startswith("quire.llm") for m in sys.modules)
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["source", "template", "n", "n_docs", "first_page"] and df.count() > 0
+    assert df.columns == ["doc_id", "template", "n", "band", "pages"] and df.count() > 0
 
 
 def test_oracles_belong_to_queries():
