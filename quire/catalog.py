@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import arrow, blocks, census, folds, gates, joins, layout_queries, reports, runs, text, windows
+from quire.operators import arrow, blocks, census, folds, gates, joins, layout_queries, prose_queries, reports, runs, text, windows
 from quire.oracles import layout as layout_oracles
+from quire.oracles import prose as prose_oracles
 from quire.plans.dialect import Duck, Spark
 from quire.plans.views import prefix
 
@@ -36,7 +37,7 @@ def _collect() -> dict[str, tuple[Query, str | None]]:
         for name, (views, make) in module.OPERATORS.items():
             found[name] = _planned(make, views)
     found |= arrow.QUERIES | folds.QUERIES
-    for queries, oracles in ((layout_queries.QUERIES, layout_oracles.ORACLES),):
+    for queries, oracles in ((layout_queries.QUERIES, layout_oracles.ORACLES), (prose_queries.QUERIES, prose_oracles.ORACLES)):
         found |= {name: (query, oracles.get(name)) for name, query in queries.items()}
     return found
 

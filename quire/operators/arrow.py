@@ -41,7 +41,7 @@ def normalize_text(spark, sf_dir):
 
 
 def fold_titles(spark, sf_dir):
-    return view(spark, sf_dir, "paras").where("length(text) < 200").select("doc_id", "para", mapped(seams.fold_title, "string")("text").alias("folded"))
+    return view(spark, sf_dir, "paras").select("doc_id", "para", mapped(seams.fold_title, "string")("text").alias("folded"))
 
 
 def slugs(spark, sf_dir):
@@ -54,21 +54,6 @@ def inline_dehyphenate(spark, sf_dir):
     return view(spark, sf_dir, "damaged").select("doc_id", "para", f("text").alias("x")).select("doc_id", "para", "x.*").where("n > 0")
 
 
-def assembled(spark, sf_dir):
-    """Paragraphs from their physical lines by the full seam rules; a paragraph is folded in one row."""
-    lines = view(spark, sf_dir, "lines").groupBy("doc_id", "para").agg(F.array_sort(F.collect_list(F.struct("j", "text"))).alias("l"))
-    f = mapped(lambda rows: seams.assemble([r["text"] for r in rows])[0], "string")
-    return lines.select("doc_id", "para", f("l").alias("text"))
-
-
-def shifted_repair(spark, sf_dir):
-    """Runs whose characters were shifted down by 0x1D, found and mended."""
-    down = mapped(lambda w: "".join(chr(ord(c) - 0x1D) if 0x41 <= ord(c) < 0x7B else c for c in w), "string")
-    words = view(spark, sf_dir, "paras").where("para < 4").select("doc_id", "para", F.regexp_extract("text", "([a-z]{4,})", 1).alias("word")).where("word <> ''")
-    fix = mapped(lambda t: seams.unshift(t)[0] if seams.is_shifted(t) else t, "string")
-    return words.select("doc_id", "para", "word", fix(down("word")).alias("mended"))
-
-
 def engine_agreement(spark, sf_dir):
     """Indel likeness of every paragraph with its damaged copy, skipped only where both have under 40 characters."""
     d = view(spark, sf_dir, "damaged").where("length(text) >= 40 or length(original) >= 40")
@@ -148,9 +133,7 @@ def _d(names: list[str], rest: str) -> str:
 
 QUERIES = {
     "normalize_text": (normalize_text, _d(["damaged"], "r AS (SELECT doc_id, para, nfc_normalize(text) AS t FROM damaged), f AS (SELECT doc_id, para, translate(replace(replace(t, '­', ''), chr(65279), ''), '‘’“”–—', '''''\"\"--') AS t FROM r) SELECT doc_id, para, trim(regexp_replace(t, '[\\s\\x1c-\\x1f]+', ' ', 'g')) AS text FROM f")),
-    "fold_titles": (fold_titles, _d(["paras"], "r AS (SELECT doc_id, para, lower(strip_accents(text)) AS t FROM paras WHERE length(text) < 200) SELECT doc_id, para, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS folded FROM r")),
-    "paragraph_fold": (assembled, _d(["paras"], "z AS (SELECT 1) SELECT doc_id, para, text FROM paras")),
-    "shifted_cmap_repair": (shifted_repair, _d(["paras"], "r AS (SELECT doc_id, para, regexp_extract(text, '([a-z]{4,})', 1) AS word FROM paras WHERE para < 4) SELECT doc_id, para, word, word AS mended FROM r WHERE word <> ''")),
+    "fold_titles": (fold_titles, _d(["paras"], "r AS (SELECT doc_id, para, lower(strip_accents(text)) AS t FROM paras) SELECT doc_id, para, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS folded FROM r")),
     "inline_dehyphenate": (inline_dehyphenate, None),
     "slugs": (slugs, None),
     "engine_agreement": (engine_agreement, None),

@@ -25,7 +25,6 @@ OPERATORS = {
     "file_split": (["lines"], lambda d: "s AS (SELECT doc_id, line, page, idx = 0 AS anchor, size > 12 AS split FROM lines), f AS (SELECT doc_id, line, anchor, count(CASE WHEN split THEN 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS file_no FROM s), n AS (SELECT doc_id, line, anchor, file_no, lead(file_no) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM f) SELECT doc_id, line, CAST(CASE WHEN anchor THEN coalesce(nxt, file_no) ELSE file_no END AS BIGINT) AS file_no FROM n"),
     "index_runs": (["lines"], lambda d: "k AS (SELECT doc_id, line, CASE WHEN idx = 0 OR size > 12 THEN 'bridge' WHEN line % 10 < 6 THEN 'entry' ELSE 'text' END AS kind FROM lines), c AS (SELECT doc_id, line, kind, count(CASE WHEN kind = 'text' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM k) SELECT doc_id, min(CASE WHEN kind = 'entry' THEN line END) AS first_line, max(CASE WHEN kind = 'entry' THEN line END) AS last_line, count(CASE WHEN kind = 'entry' THEN 1 END) AS n FROM c WHERE kind <> 'text' GROUP BY doc_id, run HAVING count(CASE WHEN kind = 'entry' THEN 1 END) > 0"),
     "contents_section": (["lines"], lambda d: "k AS (SELECT doc_id, line, line % 8 IN (0, 1, 3) AS toc FROM lines), a AS (SELECT doc_id, line, toc, max(CASE WHEN toc THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM k) SELECT doc_id, line, toc FROM a WHERE toc OR ahead = 1"),
-    "page_break_html": (["lines"], lambda d: "b AS (SELECT doc_id, page FROM lines WHERE idx = 0) SELECT doc_id, page, '<span id=\"page_' || CAST(page AS VARCHAR(20)) || '\" role=\"doc-pagebreak\"></span>' AS html FROM b"),
     "endnotes_html": (["paras"], lambda d: f"n AS (SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY para) AS k, substr(text, 1, 40) AS t FROM paras WHERE para % 4 = 1) SELECT doc_id, count(*) AS n, {d.joined('\'<li>\' || CAST(k AS VARCHAR(9)) || \' \' || t || \'</li>\'', '', 'k')} AS html FROM n GROUP BY doc_id"),
     "opf_manifest": (["lines"], lambda d: f"f AS (SELECT DISTINCT doc_id, page FROM lines) SELECT doc_id, {d.joined('\'<item id=f\' || CAST(page AS VARCHAR(9)) || \'/>\'', '', 'page')} AS manifest FROM f GROUP BY doc_id"),
     "css_generation": (["lines"], lambda d: f"s AS (SELECT source, size, count(*) AS n FROM lines GROUP BY source, size) SELECT source, {d.joined('\'.s\' || CAST(CAST(size AS BIGINT) AS VARCHAR(9)) || \'{font-size:\' || CAST(' + d.rint('size * 1000 / 11') + ' AS VARCHAR(9)) || \'m}\'', ' ', 'size')} AS css FROM s WHERE abs(size - 11) > 0.2 GROUP BY source"),

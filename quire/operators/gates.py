@@ -18,11 +18,9 @@ OPERATORS = {
     "trim_clip": (["lines"], lambda d: "c AS (SELECT doc_id, line, (x0 + x1) / 2 AS xc, y0 + 6 AS yc FROM lines) SELECT doc_id, line, xc BETWEEN 24 AND 250 AND yc BETWEEN 24 AND 560 AS inside FROM c"),
     "crop_box_vote": (["lines"], lambda d: "b AS (SELECT doc_id, page, CASE WHEN page % 5 = 0 THEN '0 0 431 648' ELSE '24 24 455 672' END AS box FROM lines WHERE idx = 0), v AS (SELECT doc_id, box, count(*) AS n, min(page) AS seen FROM b GROUP BY doc_id, box), k AS (SELECT doc_id, box, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS k FROM v) SELECT doc_id, box, n FROM k WHERE k = 1"),
     "trim_in_text_space": (["lines"], lambda d: f"p AS (SELECT doc_id, page, page % 7 AS dx, page % 5 AS dy FROM lines WHERE idx = 0) SELECT doc_id, page, 24 - dx AS x0, 672 - 24 - dy AS y1, {d.rint('(431.25 - dx) * 100')} AS width_100 FROM p"),
-    "link_census": (["lines"], lambda d: "l AS (SELECT doc_id, line, CASE line % 5 WHEN 0 THEN 'goto' WHEN 1 THEN 'uri' WHEN 2 THEN 'named' ELSE 'other' END AS kind FROM lines) SELECT doc_id, kind, count(*) AS n, kind = 'other' AS warns FROM l GROUP BY doc_id, kind"),
-    "link_targets": (["lines"], lambda d: f"l AS (SELECT doc_id, line, CASE WHEN line % 2 = 0 THEN 'goto' ELSE 'named' END AS kind, CASE line % 4 WHEN 3 THEN 'chapter' ELSE CAST(page AS VARCHAR(20)) END AS target FROM lines) SELECT doc_id, line, CASE WHEN NOT {d.has('target', '^[0-9]+$')} THEN -1 WHEN kind = 'goto' THEN CAST({d.first('target', '^([0-9]+)$')} AS BIGINT) + 1 ELSE CAST({d.first('target', '^([0-9]+)$')} AS BIGINT) END AS page FROM l".replace("CAST(regexp_extract(target, '^([0-9]+)$', 1) AS BIGINT)", "coalesce(TRY_CAST(regexp_extract(target, '^([0-9]+)$', 1) AS BIGINT), 0)").replace("CAST(regexp_extract(target, r'^([0-9]+)$', 1) AS BIGINT)", "coalesce(TRY_CAST(regexp_extract(target, r'^([0-9]+)$', 1) AS BIGINT), 0)")),
     "page_lists": (["lines"], lambda d: f"s AS (SELECT DISTINCT doc_id, page AS a, page + page % 4 AS b FROM lines), e AS (SELECT doc_id, a, a + x AS page FROM (SELECT doc_id, a, {d.rows(d.upto('b - a + 1'))} FROM s)) SELECT doc_id, CAST(page AS BIGINT) AS page, count(*) AS n FROM e GROUP BY doc_id, page"),
     "page_range_check": (["lines"], lambda d: "r AS (SELECT doc_id, page AS a, page + page % 3 AS b FROM lines WHERE idx = 0), o AS (SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r) SELECT doc_id, a, b, before FROM o WHERE before >= a"),
-    "form_feed_pages": (["lines"], lambda d: f"t AS (SELECT doc_id, {d.joined('text', '|', 'line')} AS t FROM lines WHERE line < 60 GROUP BY doc_id), s AS (SELECT doc_id, CAST(i AS BIGINT) + 1 AS page, x AS text FROM (SELECT doc_id, {d.rows("split(t, '[|]')" if d.name == 'spark' else "string_split(t, '|')")} FROM t)) SELECT doc_id, page, text FROM s WHERE trim(text) <> ''"),
+    "form_feed_pages": (["lines"], lambda d: f"t AS (SELECT doc_id, {d.joined('text', '|', 'line')} AS t FROM lines GROUP BY doc_id), s AS (SELECT doc_id, CAST(i AS BIGINT) + 1 AS page, x AS text FROM (SELECT doc_id, {d.rows("split(t, '[|]')" if d.name == 'spark' else "string_split(t, '|')")} FROM t)) SELECT doc_id, page, text FROM s WHERE trim(text) <> ''"),
     "nav_numeric_bloat": (["lines"], lambda d: f"n AS (SELECT doc_id, CASE WHEN line % 3 = 0 THEN CAST(line AS VARCHAR(20)) || '.' ELSE text END AS title FROM lines) SELECT doc_id, count(CASE WHEN {d.has('title', '^[0-9]+[.]?[*]*$')} THEN 1 END) AS numeric_titles, count(*) AS n FROM n GROUP BY doc_id HAVING count(CASE WHEN {d.has('title', '^[0-9]+[.]?[*]*$')} THEN 1 END) >= 10"),
     "page_list_order": (["lines"], lambda d: f"p AS (SELECT doc_id, page, CASE WHEN page <= 2 THEN 'roman' ELSE 'arabic' END AS kind, CASE WHEN page % 6 = 0 THEN page - 2 ELSE page END AS val FROM lines WHERE idx = 0), l AS (SELECT doc_id, page, kind, val, lag(kind) OVER (PARTITION BY doc_id ORDER BY page) AS pk, lag(val) OVER (PARTITION BY doc_id ORDER BY page) AS pv FROM p) SELECT doc_id, page, CASE WHEN pk = 'arabic' AND kind = 'roman' THEN 'roman after arabic' WHEN pk = kind AND val <= pv THEN 'not increasing' ELSE 'ok' END AS finding FROM l"),
     "citation_index": (["paras"], lambda d: f"s AS (SELECT 1 AS sura, 7 AS verses UNION ALL SELECT 2, 286 UNION ALL SELECT 3, 200 UNION ALL SELECT 4, 176), t AS (SELECT doc_id, para, CAST(para % 5 + 1 AS VARCHAR(9)) || ':' || CAST(para * 3 % 300 AS VARCHAR(9)) AS cite FROM paras), c AS (SELECT doc_id, para, CAST({d.first('cite', '^([0-9]+):')} AS BIGINT) AS sura, CAST({d.first('cite', ':([0-9]+)$')} AS BIGINT) AS verse FROM t), o AS (SELECT doc_id, para, sura, verse, lag(sura * 1000 + verse) OVER (PARTITION BY doc_id ORDER BY para) AS before FROM c) SELECT o.doc_id, o.para, o.sura, o.verse, CASE WHEN s.sura IS NULL THEN 'no such sura' WHEN o.verse < 1 OR o.verse > s.verses THEN 'no such verse' WHEN o.before > o.sura * 1000 + o.verse THEN 'out of order' ELSE 'ok' END AS finding FROM o LEFT JOIN s ON o.sura = s.sura"),

@@ -8,12 +8,9 @@ OPERATORS = {
     "shifted_edges": (["lines"], lambda d: "s AS (SELECT DISTINCT doc_id, page, 12.0 AS shift FROM lines WHERE page % 2 = 0) SELECT l.doc_id, l.line, CAST(l.x0 - coalesce(s.shift, 0) AS DOUBLE) AS x0, CAST(l.x1 - coalesce(s.shift, 0) AS DOUBLE) AS x1 FROM lines l LEFT JOIN s ON l.doc_id = s.doc_id AND l.page = s.page"),
     "cross_references": (["lines"], lambda d: "t AS (SELECT doc_id, page AS label, min(line) AS target FROM lines GROUP BY doc_id, page), r AS (SELECT doc_id, line, page + line % 3 AS label FROM lines WHERE line % 10 = 4) SELECT r.doc_id, r.line, r.label, CASE WHEN t.target IS NULL THEN 'p. ' || CAST(r.label AS VARCHAR(20)) ELSE '#l' || CAST(t.target AS VARCHAR(20)) END AS href, t.target IS NOT NULL AS resolved FROM r LEFT JOIN t ON r.doc_id = t.doc_id AND r.label = t.label"),
     "region_lines": (["lines"], lambda d: "r AS (SELECT DISTINCT doc_id, page, 150.0 AS top, 250.0 AS bottom, 0.0 AS lft, 300.0 AS rgt FROM lines WHERE page % 3 = 1) SELECT l.doc_id, l.page, l.line FROM lines l JOIN r ON l.doc_id = r.doc_id AND l.page = r.page AND l.y0 + 6 BETWEEN r.top AND r.bottom AND (l.x0 + l.x1) / 2 BETWEEN r.lft AND r.rgt"),
-    "benchmark_containment": ([], lambda d: "b AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 20) SELECT q.doc_id, b.item_id FROM documents q JOIN b ON " + ("contains(q.text, b.text)" if d.name == "duckdb" else "contains(q.text, b.text)")),
     "paragraph_source_match": (["paras"], lambda d: f"s AS (SELECT doc_id, para, {d.sub('text', '[ ]+')} AS t FROM paras WHERE length(text) >= 40), w AS (SELECT doc_id, para + 1 AS para, t FROM s UNION ALL SELECT doc_id, para, t FROM s), c AS (SELECT doc_id, para, {d.sub('substr(text, 5, 30)', '[ ]+')} AS probe FROM paras WHERE length(text) >= 40) SELECT c.doc_id, c.para, count(*) AS n FROM c JOIN w ON c.doc_id = w.doc_id AND c.para = w.para WHERE strpos(w.t, c.probe) > 0 GROUP BY c.doc_id, c.para".replace("strpos(w.t, c.probe)", "instr(w.t, c.probe)")),
     "anchor_ordinals": (["lines"], lambda d: "a AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, page FROM lines)), s AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lines WHERE idx = 0 AND NOT (page = 3 AND doc_id % 2 = 0)) SELECT a.doc_id, a.page, s.line FROM a JOIN s ON a.doc_id = s.doc_id AND a.k = s.k WHERE a.n = s.n"),
     "assertions": (["lines"], lambda d: f"p AS (SELECT doc_id, page, {d.joined('text', ' ', 'line')} AS t FROM lines GROUP BY doc_id, page), a AS (SELECT doc_id, page, substr(t, 6, 12) AS needle, CASE page % 3 WHEN 0 THEN 'absent' ELSE 'present' END AS kind FROM p WHERE length(t) > 20), c AS (SELECT a.doc_id, a.page, kind, needle, instr(p.t, needle) > 0 AS found, count(*) OVER (PARTITION BY a.doc_id, a.page) AS labels FROM a JOIN p ON a.doc_id = p.doc_id AND a.page = p.page) SELECT doc_id, page, kind, needle, CASE WHEN labels > 1 THEN 'stale' WHEN (kind = 'present') = found THEN 'pass' ELSE 'fail' END AS verdict FROM c"),
-    "warning_adjudication": (["damaged"], lambda d: f"w AS (SELECT doc_id, para, CASE WHEN {d.count('text', '[-]')} > 0 THEN 'pua-unmapped' WHEN {d.count('text', '�')} > 0 THEN 'fffd-unrepaired' END AS code FROM damaged), a AS (SELECT DISTINCT code, para, 'seen in print' AS note FROM w WHERE code IS NOT NULL AND para % 4 = 1) SELECT w.doc_id, w.para, w.code, CASE WHEN a.note IS NULL THEN 'open' ELSE 'adjudicated' END AS status FROM w LEFT JOIN a ON w.code = a.code AND w.para = a.para WHERE w.code IS NOT NULL"),
-    "stale_adjudications": (["damaged"], lambda d: f"w AS (SELECT DISTINCT para FROM damaged WHERE {d.count('text', '[-]')} > 0), a AS (SELECT DISTINCT para FROM damaged WHERE para % 2 = 0) SELECT a.para FROM a LEFT JOIN w ON a.para = w.para WHERE w.para IS NULL"),
     "metric_deltas": (["lines"], lambda d: "r AS (SELECT source AS config, CASE WHEN size > 12 THEN 'headings' WHEN italic THEN 'italics' ELSE 'body' END AS counter, count(*) AS v FROM lines GROUP BY source, CASE WHEN size > 12 THEN 'headings' WHEN italic THEN 'italics' ELSE 'body' END), b AS (SELECT config, CASE WHEN counter = 'italics' THEN 'slants' ELSE counter END AS counter, v - v % 7 AS v FROM r WHERE config <> 'src3') SELECT coalesce(r.config, b.config) AS config, coalesce(r.counter, b.counter) AS counter, coalesce(r.v, 0) AS value, coalesce(b.v, 0) AS baseline, coalesce(r.v, 0) - coalesce(b.v, 0) AS delta FROM r FULL OUTER JOIN b ON r.config = b.config AND r.counter = b.counter"),
     "baseline_merge": (["lines"], lambda d: "b AS (SELECT source AS config, count(*) AS v FROM lines GROUP BY source), n AS (SELECT config, v + 1 AS v FROM b WHERE config < 'src2') SELECT b.config, b.v FROM b LEFT JOIN n ON b.config = n.config WHERE n.config IS NULL UNION ALL SELECT config, v FROM n"),
     "index_locators": (["lines"], lambda d: f"i AS (SELECT doc_id, line, 'see ' || CAST(page AS VARCHAR(20)) || ', ' || CAST(page + 3 AS VARCHAR(20)) AS entry FROM lines WHERE line % 12 = 2), l AS (SELECT doc_id, line, x AS locator FROM (SELECT doc_id, line, {d.rows(d.every('entry', '[0-9]+'))} FROM i)), p AS (SELECT DISTINCT doc_id, CAST(page AS VARCHAR(20)) AS label FROM lines) SELECT l.doc_id, l.line, l.locator, p.label IS NOT NULL AS linked FROM l LEFT JOIN p ON l.doc_id = p.doc_id AND l.locator = p.label"),
@@ -25,6 +22,6 @@ OPERATORS = {
     "furniture_algebra": (["paras"], lambda d: "f AS (SELECT source, text FROM paras WHERE length(text) < 60 GROUP BY source, text HAVING count(*) >= 2), x AS (SELECT source, text FROM f UNION SELECT DISTINCT source, 'extra head' FROM paras) SELECT source, text FROM x EXCEPT SELECT source, text FROM f WHERE text LIKE '%the%'"),
     "stale_overrides": (["lines"], lambda d: "o AS (SELECT doc_id, page, idx + 20 AS idx, 'drop' AS kind FROM lines WHERE line % 15 = 3) SELECT o.doc_id, o.page, o.idx, o.kind FROM o LEFT JOIN lines l ON o.doc_id = l.doc_id AND o.page = l.page AND o.idx = l.idx WHERE l.line IS NULL"),
     "defended_pages": (["lines"], lambda d: "a AS (SELECT DISTINCT doc_id, page FROM lines WHERE size > 12), f AS (SELECT DISTINCT doc_id, page FROM lines WHERE page % 4 = 0), s AS (SELECT DISTINCT doc_id, page FROM lines WHERE italic) SELECT doc_id, page FROM s EXCEPT (SELECT doc_id, page FROM a UNION SELECT doc_id, page FROM f)"),
-    "region_token_subset": (["paras"], lambda d: f"t AS (SELECT doc_id, para, x AS token FROM (SELECT doc_id, para, {d.rows(d.words('text'))} FROM paras WHERE para < 12)), r AS (SELECT DISTINCT doc_id, token FROM t WHERE para % 2 = 0) SELECT t.doc_id, t.para, count(*) AS n_tokens FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND t.token = r.token GROUP BY t.doc_id, t.para HAVING count(r.token) = count(*)"),
-    "column_suggestions": (["lines"], lambda d: "b AS (SELECT doc_id, page, line, x0 + CASE WHEN line % 2 = 0 THEN 0 ELSE 300 END AS x0, y0, y0 + 30 AS y1 FROM lines WHERE page = 1), p AS (SELECT DISTINCT a.doc_id, a.page, a.line AS lft, c.line AS rgt FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.x0 < 250 AND c.x0 >= 250 AND a.y0 < c.y1 AND c.y0 < a.y1) SELECT doc_id, page, count(DISTINCT lft) AS n_left, count(DISTINCT rgt) AS n_right FROM p GROUP BY doc_id, page HAVING count(DISTINCT lft) >= 2 AND count(DISTINCT rgt) >= 2"),
+    "region_token_subset": (["paras"], lambda d: f"t AS (SELECT doc_id, para, x AS token FROM (SELECT doc_id, para, {d.rows(d.words('text'))} FROM paras)), r AS (SELECT DISTINCT doc_id, token FROM t WHERE para % 2 = 0) SELECT t.doc_id, t.para, count(*) AS n_tokens FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND t.token = r.token GROUP BY t.doc_id, t.para HAVING count(r.token) = count(*)"),
+    "column_suggestions": (["lines"], lambda d: "b AS (SELECT doc_id, page, line, x0 + CASE WHEN line % 2 = 0 THEN 0 ELSE 300 END AS x0, y0, y0 + 30 AS y1 FROM lines), p AS (SELECT DISTINCT a.doc_id, a.page, a.line AS lft, c.line AS rgt FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.x0 < 250 AND c.x0 >= 250 AND a.y0 < c.y1 AND c.y0 < a.y1) SELECT doc_id, page, count(DISTINCT lft) AS n_left, count(DISTINCT rgt) AS n_right FROM p GROUP BY doc_id, page HAVING count(DISTINCT lft) >= 2 AND count(DISTINCT rgt) >= 2"),
 }

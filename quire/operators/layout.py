@@ -270,7 +270,7 @@ def paragraph_geometry(lines: DataFrame) -> DataFrame:
 def body_anchors(lines: DataFrame, geometry: DataFrame, off: float = 2.0, left_off: float = 3.0, least: float = 100.0) -> DataFrame:
     """doc_id, page, left, right: the least x0 and, of lines that start there, the greatest x1 which two lines of body size share."""
     rows = lines.join(geometry.select("doc_id", "body_size"), "doc_id").where((F.abs(F.col("size") - F.col("body_size")) <= 2) & ~F.col("vertical"))
-    near = lambda by: F.count("*").over(Window.partitionBy(PAGE).orderBy(by).rangeBetween(-off, off))
+    near = lambda by: F.expr(f"count(*) over (partition by doc_id, page order by {by} range between {off}D preceding and {off}D following)")
     left = rows.withColumn("n", near("x0")).where("n >= 2").groupBy(*PAGE).agg(F.min("x0").alias("left"))
     ends = rows.join(left, PAGE).where(F.abs(F.col("x0") - F.col("left")) <= left_off).withColumn("n", near("x1"))
     page = ends.groupBy(*PAGE, "left").agg(F.coalesce(F.max(F.when(F.col("n") >= 2, F.col("x1"))), F.max("x1")).alias("right"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 OPERATORS = {
-    "toc_lines": (["lines"], lambda d: f"t AS (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN text || ' ..... ' || CAST(page AS VARCHAR(20)) WHEN 1 THEN text || '   ' || 'xii' WHEN 2 THEN text || ' ' || CAST(page AS VARCHAR(20)) ELSE text END AS text FROM lines WHERE idx < 8), p AS (SELECT doc_id, line, {d.first('text', '^(.*[^ .])(?:[ ]*[.]{3,}[ ]*|[ ]{2,})([0-9]{1,4}|[ivxlcdm]+)$', 1)} AS title, {d.first('text', '^(.*[^ .])(?:[ ]*[.]{3,}[ ]*|[ ]{2,})([0-9]{1,4}|[ivxlcdm]+)$', 2)} AS folio FROM t) SELECT doc_id, line, title, folio FROM p WHERE folio <> ''"),
     "merged_runs": (["paras"], lambda d: f"w AS (SELECT doc_id, para, CAST(i AS BIGINT) AS i, x AS word, i % 7 IN (3, 4) AS italic FROM (SELECT doc_id, para, {d.rows(d.words('text'))} FROM paras)), f AS (SELECT doc_id, para, i, word, italic, CASE WHEN italic = lag(italic) OVER (PARTITION BY doc_id, para ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM w), g AS (SELECT doc_id, para, i, word, italic, sum(fresh) OVER (PARTITION BY doc_id, para ORDER BY i) AS run FROM f) SELECT doc_id, para, CAST(run AS BIGINT) AS run, bool_and(italic) AS italic, {d.joined('word', ' ', 'i')} AS text FROM g GROUP BY doc_id, para, run"),
     "cross_run_spaces": (["lines"], lambda d: f"r AS (SELECT doc_id, para, j, text || ' ' AS a, lead(' ' || text) OVER (PARTITION BY doc_id, para ORDER BY j) AS b FROM lines) SELECT doc_id, para, j, {d.sub('a', '[ ]+$', ' ')} AS head, {d.sub('b', '^[ ]+')} AS tail FROM r WHERE a LIKE '% ' AND b LIKE ' %'"),
     "style_roots": (["lines"], lambda d: f"s AS (SELECT DISTINCT source || CASE WHEN italic THEN '-Italic' ELSE '-Roman' END || ' ' || CAST(CAST(size AS BIGINT) AS VARCHAR(9)) AS style FROM lines) SELECT style, trim({d.sub(d.sub('style', '(?i)[- ]?(italic|roman|regular)'), '[ ]+', ' ')}) AS root FROM s"),

@@ -41,13 +41,70 @@ def book_pages(d: Spark) -> str:
 def hyphened(d: Spark) -> str:
     """Lines of a paragraph whose last words are cut by a hyphen where they are long and in small letters."""
     last, before = d.at("w", "least(n, x * 10 + 10)"), d.at("w", "x * 10")
-    cut = lambda w: f"length({w}) >= 7 AND {d.has(w, '^[a-z]+$')}"
+    cut = lambda w: f"length({w}) >= 7 AND {d.has(w, '^[a-z]+$')} AND substr({w}, 5) NOT IN ('and', 'und', 'oder', 'nor') AND substr({w}, 1, 4) NOT IN ('self', 'half', 'well', 'just')"
     return f"""SELECT doc_id, para, CAST(x AS BIGINT) AS j, text AS whole, CASE WHEN x > 0 AND {cut(before)} THEN substr({before}, 5) || CASE WHEN n > x * 10 THEN ' ' ELSE '' END ELSE '' END
   || CASE WHEN n >= x * 10 + 10 AND n > x * 10 + 10 AND {cut(last)} THEN {d.part("w", "x * 10 + 1", 9)} || ' ' || substr({last}, 1, 4) || '-' ELSE {d.part("w", "x * 10 + 1", 10)} END AS text
 FROM (SELECT doc_id, para, text, w, n, x FROM (SELECT doc_id, para, text, w, {d.size("w")} AS n, {d.rows(d.upto(d.div(d.size("w") + " + 9", "10")))} FROM (SELECT doc_id, para, text, {d.words("text")} AS w FROM paras)))"""
 
 
-MADE = {"book": (["lines"], book), "book_pages": (["lines", "book"], book_pages), "hyphened": (["paras"], hyphened)}
+def names(d: Spark) -> str:
+    kinds = ".xhtml .css .ncx .otf .ttf .jpg .JPEG .png .gif .svg .bin .txt".split()
+    case = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds))
+    return f"SELECT DISTINCT idx, source || ' Body_' || CAST(idx AS VARCHAR(9)) || CASE idx % 12 {case} END AS name FROM book"
+
+
+def markers(d: Spark) -> str:
+    """Paragraphs, some with a marker of a list before them."""
+    lead = ["1. ", "19-22. ", "3.· ", "7.Art ", "1987 ", "12) ", "• ", "‣ ", "- ", "* ", "", "4.x "]
+    case = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(lead))
+    return f"SELECT doc_id, para, CASE (doc_id + para) % 12 {case} END || text AS text FROM paras"
+
+
+def links(d: Spark) -> str:
+    return "SELECT doc_id, page * 1000 + idx AS link, CASE idx % 5 WHEN 0 THEN 'goto' WHEN 1 THEN 'uri' WHEN 2 THEN 'named' WHEN 3 THEN 'launch' ELSE 'goto' END AS kind, CASE WHEN idx % 7 = 2 THEN 'chapter' ELSE CAST(page AS VARCHAR(20)) END AS target FROM book"
+
+
+def outline(d: Spark) -> str:
+    nul = "chr(0)"
+    return f"SELECT doc_id, page * 1000 + idx AS pos, idx % 3 AS depth, text || CASE WHEN idx % 2 = 0 THEN {nul} || {nul} ELSE '' END AS title, CASE WHEN page % 7 = 6 THEN NULL WHEN page % 5 = 4 THEN -1 ELSE page END AS target FROM book WHERE kind = 'head'"
+
+
+def warnings(d: Spark) -> str:
+    codes = ["image-only-page", "engine-agreement-low", "embedded-image-uncovered", "top-band-kept", "nav-numeric-bloat", "pua-unmapped"]
+    case = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(codes))
+    return f"SELECT doc_id, page * 10 + idx AS warning, CASE (page + idx) % 6 {case} END AS code, CASE WHEN (page + idx) % 6 = 4 OR idx = 5 THEN NULL ELSE page END AS page, idx AS line FROM book WHERE idx < 6"
+
+
+def toc(d: Spark) -> str:
+    """Lines of a contents page: with leaders, with two spaces, with a run of its own for the folio, and without one."""
+    t, p = "substr(text, 1, 30)", "CAST(page AS VARCHAR(9))"
+    return f"""SELECT doc_id, line, CASE k WHEN 0 THEN {t} || ' . . . . ' || {p} WHEN 1 THEN {t} || '   xiv' WHEN 2 THEN {t} || ' ' || {p} WHEN 3 THEN {t} || ' ' || {p} ELSE text END AS text,
+  CASE k WHEN 2 THEN {p} WHEN 3 THEN {p} END AS last, CAST(CASE k WHEN 2 THEN 8 WHEN 3 THEN 3 END AS DOUBLE) AS gap FROM (SELECT doc_id, page * 1000 + idx AS line, page, trim({d.sub('text', '[ .]+', ' ')}) AS text, idx % 5 AS k FROM book WHERE kind = 'body')"""
+
+
+def figures(d: Spark) -> str:
+    return "SELECT doc_id, page * 1000 + idx AS figure, 'f' || CAST(idx AS VARCHAR(9)) || '.png' AS file, CASE WHEN idx % 4 = 0 THEN NULL ELSE '<' || substr(text, 1, 9) || '> & more' END AS alt, CASE idx % 5 WHEN 0 THEN 'chinese-page' WHEN 1 THEN 'decoration' ELSE 'figure' END AS role, x1 - x0 + CASE WHEN idx % 7 = 3 THEN 200 ELSE 0 END AS width FROM book"
+
+
+def blocks(d: Spark) -> str:
+    return "SELECT doc_id, page * 1000 + idx AS pos, CASE kind WHEN 'folio' THEN 'break' WHEN 'head' THEN 'head' WHEN 'running' THEN 'break' WHEN 'verse' THEN 'text' ELSE 'entry' END AS kind, text FROM book WHERE kind <> 'cap'"
+
+
+def events(d: Spark) -> str:
+    return "SELECT doc_id, page AS block, idx AS pos, CASE WHEN idx % 4 = 3 THEN 'a' ELSE 'p' END AS tag, CASE idx % 8 WHEN 3 THEN 'noteref x' WHEN 7 THEN 'backlink' ELSE '' END AS cls, CASE WHEN idx % 4 = 3 THEN ' ' || CAST(idx AS VARCHAR(9)) || ' ' ELSE text END AS text FROM book"
+
+
+def ranges(d: Spark) -> str:
+    return "SELECT doc_id, page AS para, idx * 10 AS start, idx * 10 + 25 AS stop FROM book WHERE idx < 12"
+
+
+def needles(d: Spark) -> str:
+    """Pieces of paragraphs to be found again: as they are, with words in the middle changed, without spaces, and not there at all."""
+    piece = "substr(text, 6, 90)"
+    return f"SELECT doc_id, para, text, CASE para % 4 WHEN 0 THEN {piece} WHEN 1 THEN substr({piece}, 1, 52) || '###' || substr({piece}, 56) WHEN 2 THEN replace({piece}, ' ', '- ') ELSE '@@@@ @@@@ @@@@ @@@@' END AS needle FROM paras WHERE length(text) >= 120"
+
+
+MADE = {"book": (["lines"], book), "book_pages": (["lines", "book"], book_pages), "hyphened": (["paras"], hyphened), "markers": (["paras"], markers), "needles": (["paras"], needles)} | {f.__name__: (["lines", "book"], f) for f in (names, links, outline, warnings, toc, figures, blocks, events, ranges)}
 
 
 def sql(d: Spark, names: list[str]) -> str:
@@ -62,7 +119,7 @@ def sql(d: Spark, names: list[str]) -> str:
         order.append(n)
     order = list(dict.fromkeys(order))
     head = prefix(d, list(dict.fromkeys(base)))
-    return head + "\n" + ",\n".join(f"{n} AS ({MADE[n][1](d)})" for n in order) + ("," if order else "")
+    return head if not order else head + "\n" + ",\n".join(f"{n} AS ({MADE[n][1](d)})" for n in order) + ","
 
 
 _ready: dict[tuple, DataFrame] = {}
@@ -73,9 +130,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _ready:
         spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-        if name == "book_pages":
+        if "book" in MADE.get(name, ([],))[0]:
             table(spark, sf_dir, "book").createOrReplaceTempView("book")
-            df = spark.sql(book_pages(Spark()))
+            df = spark.sql(MADE[name][1](Spark()))
         else:
             df = spark.sql(f"{sql(Spark(), [name]).rstrip(',')} SELECT * FROM {name}")
         at = f"{workspace(spark)}/{name}-{len(_ready)}"

@@ -30,7 +30,7 @@ footnotes:* toc:* glyphs:* fonts:* languages:* split:* images:* output:* qa:* bl
 """.replace(":* ", ":*\n").strip().splitlines()
 }
 CHOICES = {("pages", "label_source"): ("synthetic", "printed-folios", "pdf-page-labels"), ("flow", "dehyphenate"): ("off", "lower-only")}
-ACTIONS = frozenset(["keep", "drop", *("break", "join"), *(f"class:{x}" for x in ("list", "prose", "quote", "verse"))])
+ACTIONS = frozenset(["break", "class:list", "class:prose", "class:quote", "class:verse", "drop", "join", "keep"])
 PLACEHOLDER = "TODO"
 
 

@@ -15,8 +15,8 @@ from quire.sources.html import events
 
 WHEN = (1980, 1, 1, 0, 0, 0)
 XML = "application/xhtml+xml"
-OASIS = ":".join(["urn", "oasis", "names", "tc", "opendocument", "xmlns", "container"])
-XHTML, DC = "http://www.w3.org/1999/xhtml", "/".join(("http://purl.org", "dc", "elements", "1.1", ""))
+OASIS = "urn:oasis:names:tc:opendocument:xmlns:container"
+XHTML, DC = "http://www.w3.org/1999/xhtml", "http://purl.org/dc/elements/1.1/"
 OPF, EPUB = (f"http://www.idpf.org/2007/{x}" for x in ("opf", "ops"))
 
 
