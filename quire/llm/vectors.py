@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
+def sound(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding (array<float>) of the rows with an id and a vector of finite parts."""
+    e = F.col("embedding")
+    return vectors.select("vec_id", e.cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int, int]:
     """vec_id and embedding (array<float>) of the rows that take part, their number and dimension."""
-    e = F.col("embedding")
-    sound = vectors.select("vec_id", e.cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    sizes = sound.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()
+    rows = sound(vectors)
+    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()
     if not sizes:
-        return sound, 0, 0
+        return rows, 0, 0
     dim, n = max(((r["d"], r["n"]) for r in sizes), key=lambda x: (x[1], x[0]))
-    return sound.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), n, dim
+    return rows.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), n, dim
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -39,6 +39,33 @@ def test_clusters_let_annuli_be_skipped(spark):
     assert {tuple(r) for r in got.collect()} == brute(x, np.arange(len(x)), 5, False)
 
 
+@pytest.mark.parametrize("kind", ["far", "huge", "same", "spheres"])
+def test_exact_where_float32_is_not(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(260, 8))
+    if kind == "far":
+        x += 3000
+    elif kind == "huge":
+        x[5] = 1e30
+    elif kind == "same":
+        x[:] = x[0]
+    else:  # distances from the nearest pivot tie
+        x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * 4) * 1000
+    ids = np.arange(260) - 60
+    want = {r for r in brute(x, ids, 5, False) if r[0] % 20 == 0}
+    got = topk.exact_topk(frame(spark, x, ids), k=5, pivots=3, cell=50, every=20).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 13 * 5
+
+
+def test_op10_asks_for_every_fiftieth_row(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["op10_exact_topk"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["vec_id"] for r in got} == set(range(0, 500, 50)) and len(got) == 100
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()])
+    assert {tuple(r) for r in got} == {r for r in brute(x, np.arange(len(x)), 10, False) if r[0] % 50 == 0}
+
+
 @pytest.mark.parametrize("search", [topk.exact_topk, ann.neighbours])
 def test_unusable_and_repeated_rows(spark, search):
     nan = float("nan")
