@@ -5,12 +5,13 @@ each to the nearest of all signed axes: its bucket. With two hashes a table, a b
 ``probes`` nearest buckets of each of ``tables`` tables; all vectors found there are compared by their exact distance, and the
 best k of all tables are its result.
 
-Number of hashes and probes: unless given, they are measured. The k nearest of ``sample`` rows are found by comparing them with
-every vector, in one pass, and for one and two hashes the fewest probes are taken by which ``recall`` of those neighbours are met;
-of both the cheaper is used. So recall is alike at every size and for every distribution; the work depends on the vectors, as it must:
+Number of hashes and probes: unless given, they are fitted to a bounded sample, two lots of ``sample`` queries; every row is in the index.
+The k nearest of these queries are found by comparing them with every vector, in one pass. For one and two hashes the fewest probes are taken by which ``recall``
+of those neighbours are met in each lot, so that neither is judged by the other's fit, and LEAST of them by the lower end of the mean's range of error (two standard
+errors, none where all queries are in the sample); of both the cheaper is used. The sample is drawn from the queries, which may be unlike other rows. So recall is alike at every size and for every distribution; the work depends on the vectors, as it must:
 close neighbours need one or two probes of fine buckets, those of random vectors in many dimensions a large share of all.
 
-Every row is a query. A bucket's members come before the queries that probe it, which pass by in batches; distances are one matrix
+Queries are the rows whose id is divisible by ``every``, against all rows. A bucket's members come before the queries that probe it, which pass by in batches; distances are one matrix
 product, and only the best k of a query leave a bucket. A vector is shuffled once for each bucket that it is in or probes, so that shuffle
 is in proportion to the vectors. Memory holds the members of one bucket.
 
@@ -61,6 +62,8 @@ def buckets(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     side = 2 * x.shape[1]
     few = min(probes, side)
     loss = [_axes(x, table * hashes + j + 1) for j in range(hashes)]
+    if few == 1:
+        return sum(a.argmin(1).astype(np.int64) * side**j for j, a in enumerate(loss))[:, None]
     top = [np.argsort(a, axis=1, kind="stable")[:, :few] for a in loss]
     if hashes == 1:
         return top[0].astype(np.int64)
@@ -87,9 +90,30 @@ def _ranks(q: np.ndarray, m: np.ndarray, tables: int, hashes: int) -> np.ndarray
     return out
 
 
-def plan(units: DataFrame, n: int, dim: int, wide: int, k: int, tables: int, recall: float, sample: int) -> tuple[int, int]:
-    """Hashes and probes by which ``recall`` of the true neighbours of ``sample`` rows of units (vec_id, unit) are met."""
-    some = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+LEAST = 0.9
+"""Recall that the sample must make sure of."""
+
+
+def fewest(q: np.ndarray, rank: np.ndarray, many: int, recall: float, sample: int) -> int:
+    """Probes by which neighbours at these ranks are met; the queries q from ``sample`` on are the second lot, and there are ``many`` in all."""
+    lots = [x for x in (rank[q < sample], rank[q >= sample]) if len(x)]
+    probes = max(int(np.sort(x)[min(len(x) - 1, int(np.ceil(recall * len(x))) - 1)]) + 1 for x in lots)
+    _, q, size = np.unique(q, return_inverse=True, return_counts=True)
+    for more in np.unique(np.append(rank[rank >= probes] + 1, probes)):
+        met = np.bincount(q, rank < more) / size
+        error = met.std(ddof=1) / len(met) ** 0.5 if 1 < len(met) < many else 0
+        if met.mean() - 2 * error >= LEAST - 1e-9:
+            return int(more)
+    return int(rank.max()) + 1
+
+
+def plan(units: DataFrame, n: int, dim: int, wide: int, k: int, tables: int, recall: float, sample: int, every: int = 1) -> tuple[int, int]:
+    """Hashes and probes by which ``recall`` of the true neighbours of two lots of ``sample`` queries of units (vec_id, unit) are met."""
+    asked = units.where(F.col("vec_id") % every == 0)
+    many = asked.count()
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).collect()
+    if not some:
+        return 1, 1
     ids, x = np.array([r["vec_id"] for r in some], np.int64), np.frombuffer(b"".join(r["unit"] for r in some), np.float32).reshape(-1, dim).astype(np.float64)
 
     def closest(batches):
@@ -111,15 +135,15 @@ def plan(units: DataFrame, n: int, dim: int, wide: int, k: int, tables: int, rec
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[0].ravel()), packed(best[1].reshape(-1, dim))], ["q", "dot", "unit"])
 
     found = units.mapInArrow(closest, "q bigint, dot double, unit binary").where(F.col("dot") > float("-inf"))
-    found = found.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "unit"))).where(F.col("i") <= k).collect()  # sample * k rows
+    found = found.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "unit"))).where(F.col("i") <= k).collect()  # 2 * sample * k rows
     if not found:
         return 1, 1
-    q = _wide(x[[r["q"] for r in found]], wide)
+    of = np.array([r["q"] for r in found])
+    q = _wide(x[of], wide)
     m = _wide(np.frombuffer(b"".join(r["unit"] for r in found), np.float32).reshape(-1, dim).astype(np.float64), wide)
     best = None
     for hashes in (1, 2):
-        rank = np.sort(_ranks(q, m, tables, hashes))
-        probes = int(rank[min(len(rank) - 1, int(np.ceil(recall * len(rank))) - 1)]) + 1
+        probes = fewest(of, _ranks(q, m, tables, hashes), many, recall, sample)
         cost = probes * (n / (2 * wide) ** hashes + SENT)
         if best is None or (cost < best[0] and probes <= 2 * wide):
             best = (cost, hashes, probes)
@@ -130,12 +154,17 @@ SENT = 400
 """Vectors that can be compared in the time of sending one to a bucket."""
 
 
+def _sent(batch: pa.RecordBatch, t: int, bucket: np.ndarray, member: bool) -> pa.RecordBatch:
+    n = len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bucket), pa.array(np.full(n, member)), batch.column("vec_id"), batch.column("unit")], ["t", "bucket", "member", "vec_id", "unit"])
+
+
 def _wide(x: np.ndarray, wide: int) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), wide - x.shape[1]))], 1)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, tables: int = 16, recall: float = 0.93, sample: int = 256, hashes: int | None = None, probes: int | None = None) -> DataFrame:
-    """vec_id, neighbor_id, rank (from 1) and distance (Euclidean, of the unit vectors) of every row's best k."""
+def neighbours(vectors: DataFrame, k: int = 10, tables: int = 16, recall: float = 0.93, sample: int = 256, hashes: int | None = None, probes: int | None = None, every: int = 1) -> DataFrame:
+    """vec_id, neighbor_id, rank (from 1) and distance (Euclidean, of the unit vectors) of the best k of every row whose id is divisible by ``every``."""
     rows, n, dim = usable(vectors)
     if not n:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("neighbor_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).where("false")
@@ -150,15 +179,18 @@ def neighbours(vectors: DataFrame, k: int = 10, tables: int = 16, recall: float
 
     units, _ = materialize(rows.mapInArrow(scale, "vec_id bigint, unit binary"), "ann")
     if hashes is None or probes is None:
-        hashes, probes = plan(units, n, dim, wide, k, tables, recall, sample)
+        hashes, probes = plan(units, n, dim, wide, k, tables, recall, sample, every)
 
     def spread(batches):
         for batch in batches:
             x = _wide(unpacked(batch.column("unit"), dim), wide)
+            asks = np.flatnonzero(np.asarray(batch.column("vec_id")).astype(np.int64) % every == 0)
+            query = batch.take(pa.array(asks))
             for t in range(tables):
-                to = buckets(x, t, hashes, probes)
-                for p in range(to.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(to[:, p]), pa.array(np.full(len(x), p == 0)), batch.column("vec_id"), batch.column("unit")], ["t", "bucket", "member", "vec_id", "unit"])
+                yield _sent(batch, t, buckets(x, t, hashes, 1)[:, 0], True)
+                to = buckets(x[asks], t, hashes, probes)
+                for p in range(every == 1, to.shape[1]):  # members that are all queries search their own bucket as such
+                    yield _sent(query, t, to[:, p], False)
 
     def search(members: pa.Table, group: pa.Table) -> pa.RecordBatch:
         ids, x = np.asarray(group.column("vec_id")).astype(np.int64), unpacked(group.column("unit"), dim)
@@ -178,4 +210,4 @@ def neighbours(vectors: DataFrame, k: int = 10, tables: int = 16, recall: float
         return pa.RecordBatch.from_arrays([pa.array(ids), *lists(*cat, len(ids))], ["vec_id", "ids", "ds"])
 
     sent = units.mapInArrow(spread, "t int, bucket bigint, member boolean, vec_id bigint, unit binary")
-    return merge(streamed(sent, ["t", "bucket"], search, True, f"vec_id bigint, {FOUND}"), k, "distance")
+    return merge(streamed(sent, ["t", "bucket"], search, every == 1, f"vec_id bigint, {FOUND}"), k, "distance")

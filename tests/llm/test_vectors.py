@@ -89,6 +89,41 @@ def test_recall(spark, n):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def _recall(got, x, asked, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    found = {(r["vec_id"], r["neighbor_id"]) for r in got}
+    return np.mean([(int(i), int(j)) in found for i, row in zip(asked, s) for j in np.argsort(-row)[:k]])
+
+
+def test_recall_of_queries_unlike_other_rows(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(750, 1, 64)) + 0.05 * rng.normal(size=(750, 8, 64))).reshape(-1, 64)  # clusters of 8, where a probe is enough
+    asked = np.arange(0, len(x), 50)
+    x[asked] = rng.normal(size=(len(asked), 64))  # the queries lie apart
+    got = ann.neighbours(frame(spark, x), k=5, sample=30, every=50).collect()
+    assert {r["vec_id"] for r in got} == set(asked.tolist()) and _recall(got, x, asked, 5) >= 0.9
+
+
+def test_op3_asks_for_every_fiftieth_row(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["op3_cross_polytope"](spark, "/root/testdata/sf0.001").collect()
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()])
+    asked = np.arange(0, len(x), 50)
+    assert {r["vec_id"] for r in got} == set(asked.tolist()) and _recall(got, x, asked, 10) >= 0.9
+
+
+def test_fewest_probes():
+    q, rank = np.repeat(np.arange(20), 10), np.tile(np.arange(10), 20)
+    assert ann.fewest(q, rank, 20, 0.93, 10) == 10 and ann.fewest(q, rank, 20, 0.5, 10) == 9  # 0.9 at least, known of all queries
+    rank[100:] += 5  # the second lot needs more than the one before
+    assert ann.fewest(q, rank, 20, 0.93, 10) == 15
+    rank = np.where(q == 3, 40, 0)  # 19 of 20 queries are met at once, but of more queries that is too little to go by
+    assert ann.fewest(q, rank, 20, 0.9, 20) == 1 and ann.fewest(q, rank, 1000, 0.9, 20) == 41
+
+
 def test_given_probes_and_two_hashes(spark):
     x = np.random.default_rng(6).normal(size=(400, 8))
     x[7] = 0  # no direction
