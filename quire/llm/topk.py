@@ -91,7 +91,7 @@ class Best:
         other = self.qi[i] != mi[j]
         i, j = i[other], j[other]
         d = np.concatenate([np.round(np.sqrt(((self.q[i[c : c + BLOCK]] - z[j[c : c + BLOCK]]) ** 2).sum(1)), DIGITS) for c in range(0, len(i), BLOCK)] or [np.zeros(0)])
-        keep = d <= self.radius[i]
+        keep = (d < self.radius[i]) | ((d == self.radius[i]) & (mi[j] < self.ids[i, -1]))
         i, j, d = i[keep], j[keep], d[keep]
         if not len(i):
             return

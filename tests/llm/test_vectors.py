@@ -57,6 +57,12 @@ def test_exact_where_float32_is_not(spark, kind):
     assert {tuple(r) for r in got} == want and len(got) == 13 * 5
 
 
+@pytest.mark.parametrize("search", [topk.exact_topk, ann.neighbours])
+def test_no_row_asks(spark, search):
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    assert search(frame(spark, x, np.arange(1, 41)), every=50).count() == 0
+
+
 def test_op10_asks_for_every_fiftieth_row(spark):
     import __spark_entry__ as entry
 
