@@ -26,7 +26,7 @@ def book(d: Spark) -> str:
   FROM (SELECT *, CASE WHEN size = 14 THEN 'head' WHEN idx >= 37 AND page % 2 = 1 THEN 'note' WHEN para % 7 = 3 THEN 'verse' WHEN para % 7 = 5 THEN 'quote' ELSE 'body' END AS kind FROM lines)"""
     sheets = "(SELECT doc_id, source, lang, page FROM lines UNION SELECT doc_id, source, lang, max(page) + 1 FROM lines WHERE doc_id % 5 = 0 GROUP BY doc_id, source, lang)"
     heads = "SELECT doc_id, source, lang, page, -1, 'running', CASE WHEN page % 2 = 0 THEN CAST(page AS VARCHAR(9)) || 'the book of ' || source ELSE 'Part of ' || source END, 200, 300, 40, 9, 'Garamond', false, false FROM lines GROUP BY doc_id, source, lang, page"
-    caps = "SELECT doc_id, source, lang, page, para, 'cap', upper(substr(text, 1, 1)), 72, 91, 100, 30, 'Trajan', false, false FROM lines WHERE idx = 0 AND page % 4 = 1"
+    caps = f"SELECT doc_id, source, lang, page, para, 'cap', {d.capital('substr(text, 1, 1)')}, 72, 91, 100, 30, 'Trajan', false, false FROM lines WHERE idx = 0 AND page % 4 = 1"
     folios = f"SELECT doc_id, source, lang, page, -1, 'folio', CAST(page AS VARCHAR(9)), 245, 259, 690, 9, 'Garamond', false, false FROM {sheets}"
     return f"""SELECT doc_id, source, lang, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, kind) - 1 AS BIGINT) AS idx, para, kind, text, CAST(x0 + slide AS DOUBLE) AS x0, CAST(x1 + slide AS DOUBLE) AS x1,
   CAST(y0 AS DOUBLE) AS y0, CAST(y0 + size AS DOUBLE) AS y1, CAST(size AS DOUBLE) AS size, family, italic, bold, false AS vertical

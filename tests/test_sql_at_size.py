@@ -36,5 +36,10 @@ def same(spark, at, name: str) -> int:
     return len(got)
 
 
+@pytest.mark.parametrize("name", ["paragraph_geometry", "reader_text", "style_clusters"])
+def test_one_capital_for_one_letter(spark, folder, name):
+    assert same(spark, folder["capitals"], name)
+
+
 def test_fuzzy_find_in_text_that_repeats(spark, folder):
     assert same(spark, folder["periods"], "fuzzy_find")
