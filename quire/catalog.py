@@ -10,7 +10,7 @@ from quire.operators import arrow, blocks, census, folds, gates, joins, layout_q
 from quire.oracles import layout as layout_oracles
 from quire.oracles import prose as prose_oracles
 from quire.plans.dialect import Duck, Spark
-from quire.plans.views import prefix
+from quire.plans.views import dialect, prefix
 
 TABLES = ["documents", "pages", "benchmark", "labels", "conversations", "events", "orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def _planned(make: Callable, views: list[str]) -> tuple[Query, str]:
     def text_of(d) -> str:
         return f"{prefix(d, views)} {make(d)}" if views else f"WITH {make(d)}"
 
-    return (lambda spark, sf_dir: run_sql(spark, sf_dir, text_of(Spark()))), text_of(Duck())
+    return (lambda spark, sf_dir: run_sql(spark, sf_dir, text_of(dialect(spark, sf_dir) if views else Spark()))), text_of(Duck())
 
 
 def _collect() -> dict[str, tuple[Query, str | None]]:

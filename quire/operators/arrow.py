@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import seams
-from quire.plans.dialect import Duck, Spark
-from quire.plans.views import prefix
+from quire.plans.dialect import Duck
+from quire.plans.views import dialect, prefix
 from quire.sources.html import page_events
 
 KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -32,7 +32,7 @@ def mapped(function: Callable, kind: str, arrow_kind: pa.DataType | None = None)
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    return spark.sql(f"{prefix(Spark(), [name]).rstrip(',')} SELECT * FROM {name}")
+    return spark.sql(f"{prefix(dialect(spark, sf_dir), [name]).rstrip(',')} SELECT * FROM {name}")
 
 
 def normalize_text(spark, sf_dir):

@@ -26,31 +26,33 @@ def most_common(rows: DataFrame, keys: list[str], value: Column, weight: Column
 
 def column_geometry(lines: DataFrame, wide: float = 0.55) -> DataFrame:
     """doc_id, col_left, col_right, body_size: modal edges of the lines of at least ``wide`` of the widest, size of most characters."""
-    widest = lines.groupBy("doc_id").agg(F.max(F.col("x1") - F.col("x0")).alias("widest"))
-    long = lines.join(widest, "doc_id").where((F.col("x1") - F.col("x0")) >= wide * F.col("widest"))
-    left = most_common(long, ["doc_id"], F.rint("x0")).select("doc_id", F.col("value").alias("col_left"))
-    right = most_common(long, ["doc_id"], F.rint("x1")).select("doc_id", F.col("value").alias("col_right"))
-    size = most_common(lines, ["doc_id"], F.col("size"), F.length("text")).select("doc_id", F.col("value").alias("body_size"))
-    return left.join(right, "doc_id").join(size, "doc_id").join(widest, "doc_id")
+    each = lines.groupBy("doc_id", "x0", "x1", "size").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.min(F.expr(PLACE)).alias("seen"))
+    each = each.withColumn("widest", F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy("doc_id")))
+    long = each.where((F.col("x1") - F.col("x0")) >= wide * F.col("widest"))
+    left = most_common(long, ["doc_id"], F.rint("x0"), F.col("lines"), F.col("seen")).select("doc_id", F.col("value").alias("col_left"))
+    right = most_common(long, ["doc_id"], F.rint("x1"), F.col("lines"), F.col("seen")).select("doc_id", F.col("value").alias("col_right"))
+    size = most_common(each, ["doc_id"], F.col("size"), F.col("chars"), F.col("seen")).select("doc_id", F.col("value").alias("body_size"))
+    return left.join(right, "doc_id").join(size, "doc_id").join(each.groupBy("doc_id").agg(F.max("widest").alias("widest")), "doc_id")
 
 
 def page_shifts(lines: DataFrame, geometry: DataFrame, wide: float = 0.55, full: float = 10.0, least: float = 6.0, support: int = 3) -> DataFrame:
     """doc_id, page, shift of pages whose whole block slid: the modal left edge has ``support`` lines, one of them of full measure,
     lies ``least`` points off the column's, and fewer than ``support`` lines span the column itself."""
     long = lines.join(geometry, "doc_id").where((F.col("x1") - F.col("x0")) >= wide * F.col("widest"))
-    edge = most_common(long, PAGE, F.rint("x0"))
-    at = long.join(edge.withColumnRenamed("value", "edge"), PAGE)
     measure = F.col("x1") - F.col("x0") >= F.col("col_right") - F.col("col_left") - full
     spans = (F.abs(F.col("x0") - F.col("col_left")) <= 2) & (F.col("x1") >= F.col("col_right") - full)
-    seen = at.groupBy(*PAGE, "edge", "n", "col_left").agg(F.bool_or((F.rint("x0") == F.col("edge")) & measure).alias("full"), F.count_if(spans).alias("spans"))
-    shift = F.col("col_left") - F.col("edge")
-    return seen.where((F.col("n") >= support) & F.col("full") & (F.abs(shift) >= least) & (F.col("spans") < support)).select(*PAGE, shift.alias("shift"))
+    edges = long.groupBy(*PAGE, "col_left", F.rint("x0").alias("edge")).agg(F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("seen"), F.bool_or(measure).alias("full"), F.count_if(spans).alias("spans"))
+    seen = edges.groupBy(*PAGE, "col_left").agg(F.max_by(F.struct("edge", "n", "full"), F.struct(F.col("n"), -F.col("seen"))).alias("best"), F.sum("spans").alias("spans"))
+    shift = F.col("col_left") - F.col("best.edge")
+    return seen.where((F.col("best.n") >= support) & F.col("best.full") & (F.abs(shift) >= least) & (F.col("spans") < support)).select(*PAGE, shift.alias("shift"))
 
 
 def framed(lines: DataFrame, geometry: DataFrame, shifts: DataFrame) -> DataFrame:
     """lines with the column's edges on their own page (left, right), the body's size, the page's shift and the line before."""
     before = Window.partitionBy(PAGE).orderBy("idx")
-    rows = lines.join(geometry, "doc_id").join(shifts, PAGE, "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
+    slid = shifts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "shift"))).alias("shifts"))
+    frame = geometry.join(slid, "doc_id", "left")  # a row a document, so that lines are shuffled once and never for their page's sake
+    rows = lines.join(frame.hint("shuffle_hash"), "doc_id").withColumn("shift", F.coalesce(F.try_element_at("shifts", "page"), F.lit(0.0))).drop("shifts")
     rows = rows.withColumn("left", F.col("col_left") - F.col("shift")).withColumn("right", F.col("col_right") - F.col("shift"))
     return rows.withColumn("prev", F.lag(F.struct("x0", "x1", "y0")).over(before))
 
@@ -120,10 +122,10 @@ def plausible(text: Column) -> Column:
 
 def furniture(lines: DataFrame, least: int = 3, longest: int = 60) -> DataFrame:
     """Templates of the first two lines of pages and of last lines that are folios, which occur ``least`` times, with their first 8 pages."""
-    last = Window.partitionBy(PAGE)
-    rows = lines.withColumn("n", F.max("idx").over(last))
-    top = rows.where("idx <= 1").select("doc_id", "page", "idx", F.lit("top").alias("band"), template(F.col("text")).alias("template"))
-    bottom = rows.where("idx = n").where(is_folio(normal(F.col("text")))).select("doc_id", "page", "idx", F.lit("bottom").alias("band"), template(F.col("text")).alias("template"))
+    last = lines.groupBy(*PAGE).agg(F.max("idx").alias("idx"))
+    top = lines.where("idx <= 1").select("doc_id", "page", "idx", F.lit("top").alias("band"), template(F.col("text")).alias("template"))
+    folios = lines.where(is_folio(normal(F.col("text")))).select("doc_id", "page", "idx", F.lit("bottom").alias("band"), template(F.col("text")).alias("template"))
+    bottom = folios.join(last, [*PAGE, "idx"], "left_semi")
     some = top.unionAll(bottom).where((F.col("template") != "") & (F.col("template") != "#") & (F.length("template") <= longest))
     each = some.groupBy("doc_id", "template").agg(F.count("*").alias("n"), F.min_by("band", F.struct("page", "idx", F.col("band") == "bottom")).alias("band"), F.array_sort(F.collect_set("page")).alias("pages"))
     return each.where(F.col("n") >= least).select("doc_id", "template", "n", "band", F.array_join(F.slice("pages", 1, 8), " ").alias("pages"))
@@ -131,13 +133,13 @@ def furniture(lines: DataFrame, least: int = 3, longest: int = 60) -> DataFrame:
 
 def printed_folios(lines: DataFrame, pages: DataFrame, band: float = FOLIO_BAND) -> DataFrame:
     """doc_id, page, folio: a folio line among a page's first and last within the bands, or digits fused to such a line's edge."""
-    ends = Window.partitionBy(PAGE)
-    rows = lines.withColumn("n", F.max("idx").over(ends)).where("idx = 0 or idx = n").join(pages.select(*PAGE, "trim_y0", "trim_y1"), PAGE)
+    last = lines.groupBy(*PAGE).agg(F.max("idx").alias("n"))
     t = F.trim("text")
-    rows = rows.where((F.col("y0") <= F.col("trim_y0") + band) | (F.col("y1") >= F.col("trim_y1") - band))
     fused = F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,3})\D", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"\D(\d{1,3})$", 1), F.lit("")))
     folio = F.when(is_folio(t) & plausible(t), t).when(plausible(fused), fused)
-    found = rows.withColumn("folio", folio).where("folio is not null")
+    some = lines.select(*PAGE, "idx", "y0", "y1", folio.alias("folio")).where("folio is not null")  # few lines have one, so that no others are shuffled
+    rows = some.join(last, PAGE).where("idx = 0 or idx = n").join(pages.select(*PAGE, "trim_y0", "trim_y1"), PAGE)
+    found = rows.where((F.col("y0") <= F.col("trim_y0") + band) | (F.col("y1") >= F.col("trim_y1") - band))
     return found.groupBy(*PAGE).agg(F.min_by("folio", "idx").alias("folio"))
 
 
@@ -157,7 +159,8 @@ def folio_agreement(folios: DataFrame, pages: DataFrame, trust: float = 97.0) ->
 def footnote_census(lines: DataFrame, pages: DataFrame, geometry: DataFrame, smaller: float = 1.5, least: int = 30) -> DataFrame:
     """doc_id, page, n_chars, marker of pages that end in small type, folio lines in the bottom band passed over."""
     up = Window.partitionBy(PAGE).orderBy(F.desc("idx"))
-    rows = lines.join(geometry.select("doc_id", "body_size"), "doc_id").join(pages.select(*PAGE, "trim_y1"), PAGE)
+    frame = pages.select(*PAGE, "trim_y1").join(geometry.select("doc_id", "body_size"), "doc_id")
+    rows = lines.join(frame.hint("shuffle_hash"), PAGE)
     folio = (F.col("y1") >= F.col("trim_y1") - FOLIO_BAND) & is_folio(normal(F.col("text")))
     rows = rows.withColumn("skip", F.min(folio).over(up)).where("not skip")
     region = rows.withColumn("small", F.min((F.col("size") <= F.col("body_size") - smaller) & ~F.col("vertical")).over(up)).where("small")
@@ -271,8 +274,8 @@ def body_anchors(lines: DataFrame, geometry: DataFrame, off: float = 2.0, left_o
     """doc_id, page, left, right: the least x0 and, of lines that start there, the greatest x1 which two lines of body size share."""
     rows = lines.join(geometry.select("doc_id", "body_size"), "doc_id").where((F.abs(F.col("size") - F.col("body_size")) <= 2) & ~F.col("vertical"))
     near = lambda by: F.expr(f"count(*) over (partition by doc_id, page order by {by} range between {off}D preceding and {off}D following)")
-    left = rows.withColumn("n", near("x0")).where("n >= 2").groupBy(*PAGE).agg(F.min("x0").alias("left"))
-    ends = rows.join(left, PAGE).where(F.abs(F.col("x0") - F.col("left")) <= left_off).withColumn("n", near("x1"))
+    left = F.min(F.when(F.col("n") >= 2, F.col("x0"))).over(Window.partitionBy(*PAGE))
+    ends = rows.withColumn("n", near("x0")).withColumn("left", left).where(F.abs(F.col("x0") - F.col("left")) <= left_off).withColumn("n", near("x1"))
     page = ends.groupBy(*PAGE, "left").agg(F.coalesce(F.max(F.when(F.col("n") >= 2, F.col("x1"))), F.max("x1")).alias("right"))
     return page.where(F.col("right") - F.col("left") >= least).select(*PAGE, "left", "right")
 

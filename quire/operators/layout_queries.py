@@ -27,12 +27,12 @@ class Book:
         return kept(self.spark, self.dir, "geometry", lambda: o.column_geometry(self.lines))
 
     @property
-    def framed(self) -> DataFrame:
-        return o.framed(self.lines, self.geometry, o.page_shifts(self.lines, self.geometry))
+    def shifts(self) -> DataFrame:
+        return kept(self.spark, self.dir, "shifts", lambda: o.page_shifts(self.lines, self.geometry))
 
     @property
     def styled(self) -> DataFrame:
-        return kept(self.spark, self.dir, "styled", lambda: o.line_styles(self.framed))
+        return o.line_styles(o.framed(self.lines, self.geometry, self.shifts))
 
     @property
     def strokes(self) -> DataFrame:

@@ -11,19 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.dialect import Spark
-from quire.plans.views import prefix
+from quire.plans.views import dialect, lines, prefix, row_line
 from quire.session import workspace
 
 FULL = "length(text) - length(replace(text, ' ', '')) >= 9"
 
 
-def book(d: Spark) -> str:
-    body = f"""SELECT doc_id, source, lang, page, para, kind, CASE WHEN kind = 'note' AND idx = 37 THEN '1. ' || text ELSE text END AS text,
+def _body(extra: str = "", lines: str = "lines") -> str:
+    """The lines as they are set; ``extra`` columns go along."""
+    return f"""SELECT doc_id, source, lang, page, para, kind, CASE WHEN kind = 'note' AND idx = 37 THEN '1. ' || text ELSE text END AS text,
   CASE kind WHEN 'head' THEN 252 - 2.5 * length(text) WHEN 'verse' THEN CASE WHEN j % 2 = 0 THEN 90 ELSE 108 END WHEN 'quote' THEN 96 WHEN 'note' THEN 72 ELSE CASE WHEN page % 4 = 1 AND idx < 2 THEN 91 WHEN j = 0 THEN 90 ELSE 72 END END AS x0,
   CASE kind WHEN 'head' THEN 252 + 2.5 * length(text) WHEN 'verse' THEN 230 + line * 17 % 90 WHEN 'quote' THEN CASE WHEN {FULL} THEN 408 ELSE least(400, 96 + 5 * length(text)) END
     ELSE CASE WHEN {FULL} THEN 432 ELSE least(425, 72 + 5 * length(text)) END END AS x1,
-  100 + 13.5 * idx AS y0, CASE kind WHEN 'head' THEN 14 WHEN 'note' THEN 9 ELSE 11 END AS size, CASE WHEN kind = 'head' THEN 'Trajan' WHEN italic THEN 'Garamond-Italic' ELSE 'Garamond' END AS family, italic, kind = 'head' AS bold
-  FROM (SELECT *, CASE WHEN size = 14 THEN 'head' WHEN idx >= 37 AND page % 2 = 1 THEN 'note' WHEN para % 7 = 3 THEN 'verse' WHEN para % 7 = 5 THEN 'quote' ELSE 'body' END AS kind FROM lines)"""
+  100 + 13.5 * idx AS y0, CASE kind WHEN 'head' THEN 14 WHEN 'note' THEN 9 ELSE 11 END AS size, CASE WHEN kind = 'head' THEN 'Trajan' WHEN italic THEN 'Garamond-Italic' ELSE 'Garamond' END AS family, italic, kind = 'head' AS bold{extra}
+  FROM (SELECT *, CASE WHEN size = 14 THEN 'head' WHEN idx >= 37 AND page % 2 = 1 THEN 'note' WHEN para % 7 = 3 THEN 'verse' WHEN para % 7 = 5 THEN 'quote' ELSE 'body' END AS kind FROM {lines})"""
+
+
+def book(d: Spark) -> str:
+    if d.keyed:
+        return _row_book(d)
+    body = _body()
     sheets = "(SELECT doc_id, source, lang, page FROM lines UNION SELECT doc_id, source, lang, max(page) + 1 FROM lines WHERE doc_id % 5 = 0 GROUP BY doc_id, source, lang)"
     heads = "SELECT doc_id, source, lang, page, -1, 'running', CASE WHEN page % 2 = 0 THEN CAST(page AS VARCHAR(9)) || 'the book of ' || source ELSE 'Part of ' || source END, 200, 300, 40, 9, 'Garamond', false, false FROM lines GROUP BY doc_id, source, lang, page"
     caps = f"SELECT doc_id, source, lang, page, para, 'cap', {d.capital('substr(text, 1, 1)')}, 72, 91, 100, 30, 'Trajan', false, false FROM lines WHERE idx = 0 AND page % 4 = 1"
@@ -33,6 +40,25 @@ def book(d: Spark) -> str:
 FROM (SELECT *, CASE WHEN page % 2 = 0 AND doc_id % 3 = 0 THEN 12 ELSE 0 END AS slide FROM ({body} UNION ALL {heads} UNION ALL {caps} UNION ALL {folios}))"""
 
 
+def _row_book(d: Spark) -> str:
+    """The same rows without a shuffle: a document's row brings the lines of its pages along with its own, and its plate.
+
+    Their places follow from where they stand: the running head (y0 40) before all lines (100 to 626.5), the folio (690) behind them, the drop cap (x0 72)
+    before the first line, which never stands further left than 90.
+    """
+    head = row_line("p * 40", "-1", "0", "CASE WHEN p % 2 = 1 THEN CAST(p + 1 AS VARCHAR(9)) || 'the book of ' || source ELSE 'Part of ' || source END", "running")
+    cap = row_line("p * 40", "r.para", "0", d.capital("substr(r.text, 1, 1)"), "cap")
+    foot = row_line("p * 40", "-1", "0", "CAST(p + 1 AS VARCHAR(9))", "folio")
+    plate = row_line("size(a) + 39 - (size(a) + 39) % 40", "-1", "0", "CAST((size(a) + 39) DIV 40 + 1 AS VARCHAR(9))", "plate")
+    more = f"flatten(transform(filter(a, (r, i) -> i % 40 = 0), (r, p) -> CASE WHEN p % 4 = 0 THEN array({head}, {cap}, {foot}) ELSE array({head}, {foot}) END)), filter(array({plate}), r -> r.n_lines > 0 AND doc_id % 5 = 0)"
+    put = lambda own, running, cap, folio: f"CASE mark WHEN 'line' THEN {own} WHEN 'running' THEN {running} WHEN 'cap' THEN {cap} ELSE {folio} END"
+    return f"""SELECT doc_id, source, lang, page, CAST(CASE mark WHEN 'line' THEN place + lead WHEN 'cap' THEN 1 WHEN 'folio' THEN least(40, n_lines - (page - 1) * 40) + lead ELSE 0 END AS BIGINT) AS idx, para,
+  CASE mark WHEN 'line' THEN kind WHEN 'plate' THEN 'folio' ELSE mark END AS kind, text, CAST({put("x0", 200, 72, 245)} + slide AS DOUBLE) AS x0, CAST({put("x1", 300, 91, 259)} + slide AS DOUBLE) AS x1,
+  CAST({put("y0", 40, 100, 690)} AS DOUBLE) AS y0, CAST({put("y0 + size", 49, 130, 699)} AS DOUBLE) AS y1, CAST({put("size", 9, 30, 9)} AS DOUBLE) AS size,
+  {put("family", "'Garamond'", "'Trajan'", "'Garamond'")} AS family, mark = 'line' AND italic AS italic, mark = 'line' AND bold AS bold, false AS vertical
+FROM (SELECT *, CASE WHEN page % 4 = 1 THEN 2 ELSE 1 END AS lead, CASE WHEN page % 2 = 0 AND doc_id % 3 = 0 THEN 12 ELSE 0 END AS slide FROM ({_body(", idx AS place, mark, n_lines", f"({lines(d, more)})")}))"""
+
+
 def book_pages(d: Spark) -> str:
     return """SELECT doc_id, page, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN page % 30 = 29 THEN CAST(page + 1 AS VARCHAR(9)) ELSE CAST(page AS VARCHAR(9)) END AS label,
   CASE WHEN page % 5 = 0 OR count(*) = 1 THEN 1 ELSE 0 END AS n_images, CAST(0 AS DOUBLE) AS trim_x0, CAST(0 AS DOUBLE) AS trim_y0, CAST(504 AS DOUBLE) AS trim_x1, CAST(720 AS DOUBLE) AS trim_y1 FROM book GROUP BY doc_id, page"""
@@ -122,19 +148,24 @@ def sql(d: Spark, names: list[str]) -> str:
     return head if not order else head + "\n" + ",\n".join(f"{n} AS ({MADE[n][1](d)})" for n in order) + ","
 
 
+WRITTEN = {"book", "book_pages"}
 _ready: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the fixture, written once a session to the shared folder, so that no query lays out the corpus anew."""
+    """A table of the fixture. The book and its pages are written once a session to the shared folder, so that no query lays out the corpus anew;
+    the others are a projection of the book or the documents."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    d = dialect(spark, sf_dir)
     if key not in _ready:
         spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
         if "book" in MADE.get(name, ([],))[0]:
             table(spark, sf_dir, "book").createOrReplaceTempView("book")
-            df = spark.sql(MADE[name][1](Spark()))
+            df = spark.sql(MADE[name][1](d))
         else:
-            df = spark.sql(f"{sql(Spark(), [name]).rstrip(',')} SELECT * FROM {name}")
+            df = spark.sql(f"{sql(d, [name]).rstrip(',')} SELECT * FROM {name}")
+        if name not in WRITTEN:
+            return df
         at = f"{workspace(spark)}/{name}-{len(_ready)}"
         df.write.mode("overwrite").parquet(at)
         _ready[key] = spark.read.schema(df.schema).parquet(at)

@@ -12,6 +12,8 @@ SINGLE = {c: c.title() if len(c.title()) == 1 else c for c in WHOLE} | {"ß": "
 
 class Spark:
     name = "spark"
+    keyed = False
+    """Whether doc_id is known to be a key, so that a row's lines can be numbered within the row."""
 
     def lit(self, pattern: str) -> str:
         return "r'" + pattern + "'"
@@ -72,6 +74,10 @@ class Spark:
         return f"CASE WHEN instr('{these}', {x}) > 0 THEN translate({x}, '{these}', '{''.join(SINGLE.values())}') ELSE upper({x}) END"
 
 
+class Keyed(Spark):
+    keyed = True
+
+
 class Duck(Spark):
     name = "duckdb"
 

@@ -6,10 +6,15 @@ import pyarrow.parquet as pq
 import pytest
 
 from quire import catalog
+from quire.operators.layout_queries import Book
+from quire.plans import book
+from quire.plans.views import dialect, prefix
 
 GERMAN = "ßheit enkeit nicht und das ach der au ein tzst schach der und lichen diedes chtetz berpf er\nΐch ŉein ﬁnden und das ach der au ein tzst schach der und lichen"
 DOCUMENTS = {
     "capitals": [(i, f"{first}{GERMAN}") for i, first in enumerate(["", "ŉ", "ﬁ", "ᾳ", "ǰ", "a", "é", "ƛ", "ẞ"])],
+    "twice": [(i, f"Title\n\n{GERMAN}\n" + "one two three " * 300) for i in (3, 3, 4, 5)],
+    "blank": [(1, "  \n"), (5, ""), (10, None), (6, "            x y\n" + "z " * 401)],
     "periods": [(1, "a\nb\n" + "To " * 33 + "ereres ereres " * 9), (2, "a\nb\n" + "to-to " * 40), (3, "a\nb\n" + " ab" * 60 + " " + "abc " * 30)],
 }
 
@@ -19,7 +24,7 @@ def folder(tmp_path_factory):
     made = {}
     for name, rows in DOCUMENTS.items():
         made[name] = tmp_path_factory.mktemp(name)
-        table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": ["de"] * len(rows), "source": ["src0"] * len(rows), "n_chars": [len(r[1]) for r in rows]})
+        table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": ["de"] * len(rows), "source": ["src0"] * len(rows), "n_chars": [len(r[1] or "") for r in rows]})
         pq.write_table(table, made[name] / "documents.parquet")
     return made
 
@@ -43,3 +48,28 @@ def test_one_capital_for_one_letter(spark, folder, name):
 
 def test_fuzzy_find_in_text_that_repeats(spark, folder):
     assert same(spark, folder["periods"], "fuzzy_find")
+
+
+@pytest.mark.parametrize("name", ["line_style_key", "page_shift", "folio_agreement", "render_queue"])
+@pytest.mark.parametrize("documents", ["twice", "blank"])
+def test_repeated_and_blank_documents(spark, folder, documents, name):
+    assert same(spark, folder[documents], name) or name == "page_shift"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_and_book_are_laid_out_without_a_shuffle(spark):
+    at = "/root/testdata/sf0.001"
+    d = dialect(spark, at)
+    spark.read.parquet(f"{at}/documents.parquet").createOrReplaceTempView("documents")
+    assert "Exchange" not in _plan(spark.sql(f"{prefix(d, ['lines']).rstrip(',')} SELECT * FROM lines"))
+    assert "Exchange" not in _plan(spark.sql(f"{book.sql(d, ['book']).rstrip(',')} SELECT * FROM book"))
+
+
+def test_styled_lines_are_shuffled_once_and_never_written(spark):
+    b = Book(spark, "/root/testdata/sf0.001")
+    plan = _plan(b.styled)
+    assert plan.count("Exchange hashpartitioning") <= 3  # lines, geometry, shifts by document
+    assert "styled-" not in plan
