@@ -5,18 +5,20 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import seams
 from quire.operators.arrow import view
 from quire.plans.dialect import Duck
-from quire.plans.views import prefix
+from quire.plans.views import dialect, prefix, row_lines
 
 
 def baselines(lines: list[dict], tolerance: float = 2.0) -> list[dict]:
@@ -154,18 +156,25 @@ def paged_coverage(lines: list[dict]) -> list[dict]:
     pages: dict[int, list[str]] = {}
     for r in lines:
         pages.setdefault(r["page"], []).append(r["text"])
-    copy = " ".join(t for p, rows in pages.items() for k, t in enumerate(rows) if (p + k) % 9).split()
-    places: dict[tuple, list[int]] = {}
-    for i in range(len(copy) - 3):
-        places.setdefault(tuple(copy[i : i + 4]), []).append(i)
+    signs: dict[str, str] = defaultdict(lambda: chr(len(signs)))  # a character for each word, so that words are sought as characters
+
+    def coded(words: list[str]) -> str:
+        return "".join(map(signs.__getitem__, words))
+
+    copy = coded(" ".join(t for p, rows in pages.items() for k, t in enumerate(rows) if (p + k) % 9).split())
     at, out = 0, []
     for p, rows in pages.items():
         words = " ".join(rows).split()
-        probes = (next((i for i in places.get(tuple(words[o : o + 4]), ()) if i >= at), None) for o in (0, len(words) // 4, len(words) // 2, 3 * len(words) // 4))
+        text, upto = coded(words), [0, *accumulate(len(w) + 1 for w in words)]
+        probes = (copy.find(text[o : o + 4], at) if len(text) >= o + 4 else -1 for o in (0, len(words) // 4, len(words) // 2, 3 * len(words) // 4))
         best, end = 0, at
-        for s in sorted({at, *(i for i in probes if i is not None)}):
-            blocks = difflib.SequenceMatcher(None, words, copy[s : s + len(words)], autojunk=False).get_matching_blocks()
-            sizes = [(len(" ".join(words[x.a : x.a + x.size])), s + x.b + x.size) for x in blocks]
+        for s in sorted({at, *(i for i in probes if i >= 0)}):
+            window = copy[s : s + len(words)]
+            there = set(window)
+            if best and sum(upto[k + 1] - upto[k] for k, c in enumerate(text) if c in there) <= best:
+                continue  # not even all words that the window has would be more
+            blocks = seams.matching_blocks(text, window)
+            sizes = [(upto[a + n] - upto[a] - 1, s + b + n) for a, b, n in blocks if n]
             n = sum(c for c, _ in sizes if c >= 20)
             if n > best:
                 best, end = n, max(e for c, e in sizes if c >= 20)
@@ -196,19 +205,30 @@ def fold(function: Callable[[list[dict]], list[dict]]):
 
     @F.arrow_udf("array<struct<line: bigint, v: bigint>>")
     def apply(rows: pa.Array) -> pa.Array:
-        return pa.array([function(r) for r in rows.to_pylist()], kind)
+        every = rows.flatten()
+        names = [f.name for f in every.type]
+        dicts = [dict(zip(names, r)) for r in zip(*(c.to_pylist() for c in every.flatten()))]
+        ends = list(accumulate(n or 0 for n in pc.list_value_length(rows).to_pylist()))
+        return pa.array([function(dicts[a:z]) for a, z in zip([0, *ends], ends)], kind)
 
     return apply
 
 
 def by_document(lines: DataFrame, function: Callable, name: str) -> DataFrame:
     """doc_id, line (or page) and the fold's number; one shuffle by document."""
-    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*COLUMNS))).alias("r"))
+    return _folded(lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*COLUMNS))).alias("r")), function, name)
+
+
+def _folded(rows: DataFrame, function: Callable, name: str) -> DataFrame:
     return rows.select("doc_id", F.explode(fold(function)("r")).alias("x")).select("doc_id", "x.line", F.col("x.v").alias(name))
 
 
 def _query(function: Callable, name: str, where: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = dialect(spark, sf_dir)
+        if d.keyed and function in (page_fidelity, paged_coverage):  # the document's row has all its lines, so that nothing is shuffled
+            own = F.expr(f"transform({row_lines(d)}, r -> struct(r.line AS line, r.line DIV 40 + 1 AS page, r.text AS text))")
+            return _folded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", own.alias("r")), function, name)
         lines = view(spark, sf_dir, "lines").where(where)
         if name in ("note", "note_line"):  # the documents have no notes of their own
             marked = F.expr("case when idx >= 37 then concat(idx - 36, ' ', text) when line % 11 = 0 then concat(text, '*') else text end")
@@ -223,9 +243,14 @@ QUERIES = {k: (_query(*v), None) for k, v in FOLDS.items()}
 
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as packages, written and read again: the spine in order, without the navigation."""
-    from quire.sources.epub import read_packages, write_packages
-
-    return read_packages(write_packages(view(spark, sf_dir, "paras"))).where("pos >= 0 and not is_nav").select("doc_id", "pos", "href", "title", "n_blocks", F.length("text").cast("bigint").alias("n_chars"))
+    from quire.sources.epub import packed, read_packages, write_packages
+
+    if dialect(spark, sf_dir).keyed:
+        own = F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(CAST(i AS BIGINT) AS para, x AS text)), p -> trim(p.text) <> '')")
+        packages = packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", own.alias("r")))
+    else:
+        packages = write_packages(view(spark, sf_dir, "paras"))
+    return read_packages(packages).where("pos >= 0 and not is_nav").select("doc_id", "pos", "href", "title", "n_blocks", F.length("text").cast("bigint").alias("n_chars"))
 
 
 EPUB_SQL = """s AS (SELECT doc_id, para, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS k FROM paras)

@@ -1,12 +1,20 @@
 """Inputs on which a query once differed from its SQL: rows that the small tables lack, compared with DuckDB."""
 
+import difflib
+import random
+import re
+import time
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from quire import catalog
+from quire.functions import seams
 from quire.operators.layout_queries import Book
+from quire.operators.prose import TIGHT
+from quire.operators.text import SPACE_RULES
 from quire.plans import book
 from quire.plans.views import dialect, prefix
 
@@ -73,3 +81,37 @@ def test_styled_lines_are_shuffled_once_and_never_written(spark):
     plan = _plan(b.styled)
     assert plan.count("Exchange hashpartitioning") <= 3  # lines, geometry, shifts by document
     assert "styled-" not in plan
+
+
+def test_matching_blocks_are_those_of_difflib():
+    draw = random.Random(3)
+    for _ in range(3000):
+        letters = "abcdef"[: draw.randint(1, 6)]
+        a, b = ("".join(draw.choices(letters, k=draw.randint(0, 50))) for _ in "ab")
+        b = draw.choice((b, a[:9] + b + a[15:40]))
+        assert seams.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
+
+
+def test_matching_blocks_of_text_that_repeats_take_no_square_of_it():
+    a, b = "to " * 3000, "to " * 2990
+    at = time.process_time()
+    assert seams.matching_blocks(a, b)[0] == (0, 0, len(b))
+    assert time.process_time() - at < 5  # difflib: over a minute
+
+
+def test_rules_of_spaces_need_a_tight_mark():
+    for text, n in [("end.Next", 1), ("a&B", 1), ("x;y ”.Z", 2), ("one. Two, three", 0), ("[1].“A 2,1999 *b", 3)]:
+        found = sum(len(re.findall(f"({left})({right}" + (f"(?={ahead})" if ahead else "") + ")", text)) for _, left, right, ahead in SPACE_RULES)
+        assert bool(found) == bool(n) and (not found or re.search(TIGHT, text))
+    for _, left, right, _ in SPACE_RULES:
+        assert not re.match(right, " ")
+
+
+def test_joining_stats_shuffle_no_text(spark):
+    plan = _plan(catalog.QUERIES["joining_stats"][0](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") <= 3  # lines once, geometry, shifts
+
+
+@pytest.mark.parametrize("name", ["paged_coverage", "page_fidelity", "epub_spine"])
+def test_folds_of_a_documents_own_lines_shuffle_nothing(spark, name):
+    assert "Exchange" not in _plan(catalog.QUERIES[name][0](spark, "/root/testdata/sf0.001"))
