@@ -103,13 +103,20 @@ def top_band(lines: DataFrame, share: float = 0.8, gap: float = 6.0) -> DataFram
 
 def normal(text: Column) -> Column:
     """Canonical spelling of a line for comparisons: quotes and dashes plain, spaces single."""
-    plain = F.translate(text, "‘’“”–—­﻿", "''\"\"--")
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    spaced = lambda x: F.trim(F.when(x.rlike(r"(?U)[\s&&[^ ]]|  "), F.regexp_replace(x, r"(?U)\s+", " ")).otherwise(x))
+    return once(F.translate(text, "‘’“”–—­﻿", "''\"\"--"), spaced)
+
+
+def once(x: Column, function) -> Column:
+    """``function`` of a value that it names several times but that is made once."""
+    return F.transform(F.array(x), function)[0]
 
 
 def template(text: Column) -> Column:
     """Digits become #, and roman numerals at either edge."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normal(text), r"\d+", "#"), "(?i)^[ivxlcdm]+|[ivxlcdm]+$", "#"))
+    digits = lambda x: F.when(x.rlike(r"\d"), F.regexp_replace(x, r"\d+", "#")).otherwise(x)
+    edges = lambda x: F.trim(F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike("(?i)[ivxlcdm]"), F.regexp_replace(x, "(?i)^[ivxlcdm]+|[ivxlcdm]+$", "#")).otherwise(x))
+    return once(once(normal(text), digits), edges)
 
 
 def is_folio(text: Column) -> Column:
@@ -124,7 +131,7 @@ def furniture(lines: DataFrame, least: int = 3, longest: int = 60) -> DataFrame:
     """Templates of the first two lines of pages and of last lines that are folios, which occur ``least`` times, with their first 8 pages."""
     last = lines.groupBy(*PAGE).agg(F.max("idx").alias("idx"))
     top = lines.where("idx <= 1").select("doc_id", "page", "idx", F.lit("top").alias("band"), template(F.col("text")).alias("template"))
-    folios = lines.where(is_folio(normal(F.col("text")))).select("doc_id", "page", "idx", F.lit("bottom").alias("band"), template(F.col("text")).alias("template"))
+    folios = lines.where(F.col("text").rlike(r"(?U)^[\s\u00ad\ufeff0-9ivxlcdmIVXLCDM]+$")).where(is_folio(normal(F.col("text")))).select("doc_id", "page", "idx", F.lit("bottom").alias("band"), template(F.col("text")).alias("template"))
     bottom = folios.join(last, [*PAGE, "idx"], "left_semi")
     some = top.unionAll(bottom).where((F.col("template") != "") & (F.col("template") != "#") & (F.length("template") <= longest))
     each = some.groupBy("doc_id", "template").agg(F.count("*").alias("n"), F.min_by("band", F.struct("page", "idx", F.col("band") == "bottom")).alias("band"), F.array_sort(F.collect_set("page")).alias("pages"))
@@ -137,7 +144,8 @@ def printed_folios(lines: DataFrame, pages: DataFrame, band: float = FOLIO_BAND)
     t = F.trim("text")
     fused = F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,3})\D", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"\D(\d{1,3})$", 1), F.lit("")))
     folio = F.when(is_folio(t) & plausible(t), t).when(plausible(fused), fused)
-    some = lines.select(*PAGE, "idx", "y0", "y1", folio.alias("folio")).where("folio is not null")  # few lines have one, so that no others are shuffled
+    digit = F.left(t, F.lit(1)).between("0", "9") | F.right(t, F.lit(1)).between("0", "9")
+    some = lines.where(digit | F.lower(t).rlike(ROMAN)).select(*PAGE, "idx", "y0", "y1", folio.alias("folio")).where("folio is not null")  # few lines have one, so that no others are shuffled
     rows = some.join(last, PAGE).where("idx = 0 or idx = n").join(pages.select(*PAGE, "trim_y0", "trim_y1"), PAGE)
     found = rows.where((F.col("y0") <= F.col("trim_y0") + band) | (F.col("y1") >= F.col("trim_y1") - band))
     return found.groupBy(*PAGE).agg(F.min_by("folio", "idx").alias("folio"))
@@ -172,17 +180,25 @@ def footnote_census(lines: DataFrame, pages: DataFrame, geometry: DataFrame, sma
 
 def joining_stats(rows: DataFrame) -> DataFrame:
     """Of the style of most characters: upper median of the leading, hyphens at line ends, spaces lost, and the threshold of an indent."""
-    body = most_common(rows, ["doc_id"], F.col("style"), F.length("text")).select("doc_id", F.col("value").alias("body"))
-    own = rows.join(body, "doc_id").where("style = body")
-    gap = F.col("y0") - F.lag("y0").over(Window.partitionBy(PAGE).orderBy("idx"))
-    lead = own.withColumn("gap", gap).where("gap > 5 and gap < 40").groupBy("doc_id").agg(F.array_sort(F.collect_list("gap")).alias("g"))
-    lead = lead.select("doc_id", F.round(F.element_at("g", F.floor(F.size("g") / 2).cast("int") + 1), 1).alias("leading"))
+    rows = rows if "chars" in rows.columns else tallied(rows)
+    gap = F.col("y0") - F.lag("y0").over(Window.partitionBy(*PAGE, "style").orderBy("idx"))
+    edges = rows.withColumn("gap", gap).groupBy("doc_id", "style", F.rint("x0").alias("v")).agg(
+        F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("seen"), F.sum("chars").alias("chars"), F.sum("eol").alias("eol"), F.sum("lost").alias("lost"), F.collect_list(F.when((F.col("gap") > 5) & (F.col("gap") < 40), F.col("gap"))).alias("gaps")
+    )
+    each = edges.groupBy("doc_id", "style").agg(F.sum("chars").alias("chars"), F.min("seen").alias("first"), F.sum("eol").alias("eol"), F.sum("lost").alias("lost"), F.flatten(F.collect_list("gaps")).alias("gaps"), F.collect_list(F.struct("n", (-F.col("seen")).alias("before"), "v")).alias("edges"))
+    body = each.groupBy("doc_id").agg(F.max_by(F.struct("eol", "lost", "gaps", "edges"), F.struct(F.col("chars"), -F.col("first"))).alias("b")).select("doc_id", "b.*")
+    body = body.withColumn("g", F.array_sort("gaps")).withColumn("base", F.array_max("edges")["v"])
+    off = lambda e: e["v"] - F.col("base")
+    steps = body.withColumn("steps", F.filter("edges", lambda e: (off(e) > 2) & (off(e) < 60))).withColumn("top", F.array_max(F.transform("steps", lambda e: e["n"])))
+    indent = F.array_min(F.transform(F.filter("steps", lambda e: e["n"] >= F.col("top") * 0.5), off))
+    lead = F.try_element_at("g", F.floor(F.size("g") / 2).cast("int") + 1)
+    return steps.select("doc_id", F.round(lead, 1).alias("leading"), F.round(indent * 0.75, 1).alias("indent"), F.col("eol").alias("eol_hyphens"), F.col("lost").cast("bigint").alias("lost_spaces"))
+
+
+def tallied(lines: DataFrame) -> DataFrame:
+    """Lines with what ``joining_stats`` counts in their text instead of the text: chars, eol (a hyphen at the end), lost (spaces)."""
     t = F.rtrim("text")
-    tally = own.groupBy("doc_id").agg(F.count_if(t.rlike("[A-Za-z]-$")).alias("eol_hyphens"), F.sum(F.regexp_count(t, F.lit('[a-z][.!?,;:]["”’]?[A-Z“"]'))).cast("bigint").alias("lost_spaces"))
-    base = most_common(own, ["doc_id"], F.rint("x0")).select("doc_id", F.col("value").alias("base"))
-    steps = own.join(base, "doc_id").withColumn("off", F.rint("x0") - F.col("base")).where("off > 2 and off < 60").groupBy("doc_id", "off").agg(F.count("*").alias("n"))
-    common = steps.withColumn("top", F.max("n").over(Window.partitionBy("doc_id"))).where("n >= top * 0.5").groupBy("doc_id").agg(F.round(F.min("off") * 0.75, 1).alias("indent"))
-    return tally.join(lead, "doc_id", "left").join(common, "doc_id", "left").select("doc_id", "leading", "indent", "eol_hyphens", "lost_spaces")
+    return lines.withColumns({"chars": F.length("text"), "eol": t.rlike("[A-Za-z]-$").cast("bigint"), "lost": F.regexp_count(t, F.lit('[a-z][.!?,;:]["”’]?[A-Z“"]'))}).drop("text")
 
 
 def column_suspects(lines: DataFrame, pages: DataFrame, least: int = 12, side: int = 6, apart: float = 30.0) -> DataFrame:

@@ -92,7 +92,7 @@ NAMED: dict[str, Callable[[Book], DataFrame]] = {
     "printed_folio": lambda b: o.printed_folios(b.lines, b.pages),
     "folio_agreement": lambda b: o.folio_agreement(o.printed_folios(b.lines, b.pages), b.pages),
     "footnote_census": lambda b: b.notes,
-    "joining_stats": lambda b: o.joining_stats(b.styled),
+    "joining_stats": lambda b: o.joining_stats(o.line_styles(o.framed(o.tallied(b.lines), b.geometry, b.shifts))),
     "column_suspects": lambda b: b.columns,
     "furniture_strip": lambda b: o.strip_furniture(b.lines, b.pages, o.furniture(b.lines), baseline=40.0),
     "furniture_leak": lambda b: o.furniture_leaks(b.texts, o.furniture(b.lines), title="Part of src3"),
