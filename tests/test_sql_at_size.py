@@ -17,6 +17,8 @@ from quire.operators.prose import TIGHT
 from quire.operators.text import SPACE_RULES
 from quire.plans import book
 from quire.plans.views import dialect, prefix
+from quire.sources.epub import blocks, page
+from quire.sources.html import events
 
 GERMAN = "ßheit enkeit nicht und das ach der au ein tzst schach der und lichen diedes chtetz berpf er\nΐch ŉein ﬁnden und das ach der au ein tzst schach der und lichen"
 DOCUMENTS = {
@@ -115,3 +117,26 @@ def test_joining_stats_shuffle_no_text(spark):
 @pytest.mark.parametrize("name", ["paged_coverage", "page_fidelity", "epub_spine"])
 def test_folds_of_a_documents_own_lines_shuffle_nothing(spark, name):
     assert "Exchange" not in _plan(catalog.QUERIES[name][0](spark, "/root/testdata/sf0.001"))
+
+
+def test_lcs_of_likes_is_that_of_the_table():
+    draw = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(draw.choices("abc", k=draw.randint(0, 90))) for _ in "ab")
+        b = draw.choice((b, a[:40] + b[:9] + a[50:]))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[-1]))
+            row = now
+        assert seams.lcs(a, b) == seams.lcs(list(a), list(b)) == row[-1]
+        n = seams._alike(a, b)
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+@pytest.mark.parametrize("body", ["<h1>A</h1><p>one</p><p> two\n </p>", "<h1>A <i>b</i></h1><p>x<b>y</b>z</p>", "<h1>A</h1><p>one<br>two</p>", "<p>a&nbsp;b &#65; &lt;</p>", "<p>a\rb</p>", "<p>\u0001</p>", "", "<P>x</P><p/>"])
+def test_parts_read_alike_by_either_parser(body):
+    text = page("de", "T", body)
+    e = events(text)
+    assert blocks(text) == (next((x[4] for x in e if x[:2] == ("text", "h1")), None), sum(x[:2] == ("start", "p") for x in e), "\n".join(x[4] for x in e if x[:2] == ("text", "p")))
